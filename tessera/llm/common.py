@@ -121,3 +121,26 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
     return e.unionByName(e.select(F.col("m").alias("v"), "m").distinct())
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """As checkpoint, for wide rows: a compressed Parquet table in the shared folder, read back."""
+    import uuid
+
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        at = sc._jsc.sc().getCheckpointDir()
+        folder = at.get() if at.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
+    path = f"{folder.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The concatenation of start, start + 1, ... start + length - 1."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    first = np.cumsum(lengths) - lengths
+    return np.repeat(starts - first, lengths) + np.arange(total)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op6_suffix_dedup": "suffix",
     "op9_simhash": "simhash",
 }
 
