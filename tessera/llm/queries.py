@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op1_mixing": "mixing",
     "op6_suffix_dedup": "suffix",
+    "op8_quality": "quality",
     "op9_simhash": "simhash",
 }
 
