@@ -6,6 +6,7 @@ import importlib
 
 MODULES = {
     "op1_mixing": "mixing",
+    "op3_sentencepiece": "pieces",
     "op6_suffix_dedup": "suffix",
     "op8_quality": "quality",
     "op9_simhash": "simhash",

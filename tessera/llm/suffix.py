@@ -24,7 +24,6 @@ an empty table gives an empty result; other columns are ignored or, by `remove_r
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -421,23 +420,25 @@ def merge(spans: list[dict], size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """(id, text) with distinct ids in corpus order; and (id, given) where those aren't the ids as they came."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n, distinct = base.agg(F.count("*"), F.countDistinct("id")).first()
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text, given, row): distinct keys in corpus order, the id as it came, and the other columns."""
+    rest = [F.col(c) for c in docs.columns if c != text_col]
+    base = docs.select(F.col(id_col).cast("long").alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*rest).alias("row"))
+    n, distinct = base.agg(F.count("*"), F.countDistinct("given")).first()
     if n == distinct:
-        return base, None
-    order = [F.col("id").asc_nulls_last(), F.col("text")]
+        return base.withColumn("key", F.col("given"))
+    order = [F.col("given").asc_nulls_last(), F.col("text")]
     ordered = base.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    named = materialize(ordered.select(F.monotonically_increasing_id().alias("key"), "text", "id"))
-    return named.select(F.col("key").alias("id"), "text"), named.select("key", F.col("id").alias("given"))
+    return materialize(ordered.withColumn("key", F.monotonically_increasing_id()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(id, n_bytes, spans, kept) for every row: its id, its size, the removed runs, and the bytes that stay, in order."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> tuple[DataFrame, DataFrame]:
+    """((key, n_bytes, spans, kept), (key, given, row)): by row, its size, the removed runs and the bytes that stay, in
+    order; and by the same keys the id and the columns other than the text. Distinct ids are their own keys."""
     if length < 16:
         raise ValueError("length must be 16 or more")
-    rows, names = keyed(docs, id_col, text_col)
+    named = keyed(docs, id_col, text_col)
+    rows = named.select(F.col("key").alias("id"), "text")
     by_id, spans = repeated_spans(rows, length)
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
@@ -451,17 +452,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), removed, pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
     out = by_id.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(run, "id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
-    if names is None:
-        return out
-    return out.join(names, out["id"] == names["key"]).select(F.col("given").alias("id"), "n_bytes", "spans", "kept")
+    return out.withColumnRenamed("id", "key"), named.select("key", "given", "row")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+    """docs with what stays of their texts. Bytes of a character that was cut in two go with it."""
+
+    @F.arrow_udf("string")
+    def decoded(kept: pa.Array) -> pa.Array:
+        return pa.array([(b or b"").decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+
+    kept, named = remove_repeats(docs, id_col, text_col, length)
+    both = kept.join(named, "key").withColumn("text", decoded("kept"))
+    return both.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import read
 
-    out = remove_repeats(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    kept, named = remove_repeats(docs)
+    ids_differ = named.where("key is distinct from given").limit(1).count()
+    out = kept.join(named.select("key", "given"), "key") if ids_differ else kept.withColumn("given", F.col("key"))
     return out.select(
-        F.col("id").alias("doc_id"),
+        F.col("given").alias("doc_id"),
         "n_bytes",
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
