@@ -6,7 +6,10 @@ import importlib
 
 MODULES = {
     "op1_mixing": "mixing",
+    "op2_chat": "chat",
     "op3_sentencepiece": "pieces",
+    "op4_sharding": "sharding",
+    "op5_media": "media",
     "op6_suffix_dedup": "suffix",
     "op8_quality": "quality",
     "op9_simhash": "simhash",
