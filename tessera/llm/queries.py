@@ -13,6 +13,7 @@ MODULES = {
     "op6_suffix_dedup": "suffix",
     "op8_quality": "quality",
     "op9_simhash": "simhash",
+    "op10_embeddings": "embeddings",
 }
 
 
