@@ -11,6 +11,7 @@ MODULES = {
     "op4_sharding": "sharding",
     "op5_media": "media",
     "op6_suffix_dedup": "suffix",
+    "op7_html": "html",
     "op8_quality": "quality",
     "op9_simhash": "simhash",
     "op10_embeddings": "embeddings",
