@@ -15,11 +15,11 @@ def spans(tokens: Column) -> Column:
 
 
 def overlaps(df: DataFrame, tokens: str, morphs: str, key: str) -> DataFrame:
-    """(key, morph, length, best, token, tlen): every morph with each token that overlaps it and by how much (`best`)."""
+    """(key, morph, length, best, piece, tlen): every morph with each token (its number: piece) that overlaps it, and by how much (best)."""
     rows = df.select(key, F.posexplode(spans(F.col(morphs))).alias("morph", "m"), spans(F.col(tokens)).alias("ts"))
-    rows = rows.select(key, "morph", "m", F.posexplode("ts").alias("token", "t"))
+    rows = rows.select(key, "morph", "m", F.posexplode("ts").alias("piece", "t"))
     shared = F.least("m.b", "t.b") - F.greatest("m.a", "t.a")
-    return rows.where(shared > 0).select(key, "morph", (F.col("m.b") - F.col("m.a")).alias("length"), shared.alias("best"), "token", (F.col("t.b") - F.col("t.a")).alias("tlen"))
+    return rows.where(shared > 0).select(key, "morph", (F.col("m.b") - F.col("m.a")).alias("length"), shared.alias("best"), "piece", (F.col("t.b") - F.col("t.a")).alias("tlen"))
 
 
 def integrity(df: DataFrame, tokens: str, morphs: str, key: str) -> DataFrame:
@@ -32,9 +32,9 @@ def dilution(df: DataFrame, tokens: str, morphs: str, key: str) -> DataFrame:
     """(key, tokens, morphs, contaminated, diluted): a token is contaminated if it has characters of several morphs and misses
     some of one of them; a morph is diluted if a contaminated token has characters of it but not all."""
     o = overlaps(df, tokens, morphs, key)
-    per_token = o.groupBy(key, "token").agg((F.count("*") > 1).alias("several"), F.max(F.when(F.col("best") < F.col("length"), 1).otherwise(0)).alias("misses"))
+    per_token = o.groupBy(key, "piece").agg((F.count("*") > 1).alias("several"), F.max(F.when(F.col("best") < F.col("length"), 1).otherwise(0)).alias("misses"))
     bad = per_token.withColumn("bad", (F.col("several") & (F.col("misses") == 1)).cast("int"))
-    joined = o.join(bad.select(key, "token", "bad"), [key, "token"])
+    joined = o.join(bad.select(key, "piece", "bad"), [key, "piece"])
     per_morph = joined.groupBy(key, "morph").agg(F.max(F.when((F.col("bad") == 1) & (F.col("best") < F.col("length")), 1).otherwise(0)).alias("diluted"))
     t = bad.groupBy(key).agg(F.count("*").alias("tokens"), F.sum("bad").alias("contaminated"))
     m = per_morph.groupBy(key).agg(F.count("*").alias("morphs"), F.sum("diluted").alias("diluted"))

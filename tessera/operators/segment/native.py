@@ -26,7 +26,7 @@ def characters(c: Column) -> Column:
 
 
 def code_points(c: Column) -> Column:
-    return F.transform(characters(c), lambda x: F.conv(F.hex(F.encode(x, "UTF-32BE")), 16, 10).cast("long"))
+    return F.transform(characters(c), lambda x: F.conv(F.hex(F.encode(x, "utf-32")), 16, 10).cast("long"))
 
 
 def whole(c: Column) -> Column:
