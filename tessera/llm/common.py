@@ -18,11 +18,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches by bytes as well as rows, and let Python workers find this package.
 
     A batch of very long texts must fit beside the executor's heap, whatever the row count."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+    # workers are kept between tasks: what they free goes back to the system, not to their own pools
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(8 << 20))
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(4 << 20))
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     return spark
 
 

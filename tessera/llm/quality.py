@@ -27,7 +27,7 @@ from tessera.llm.common import mix64, partitions, text_bytes
 
 BUCKETS, DIM, NONZERO, NEAR = 1 << 15, 32, 4, (1, 2)
 BLOCK = 512
-PIECE = 1 << 20
+PIECE = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _cache: dict = {}
 

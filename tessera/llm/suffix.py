@@ -35,7 +35,7 @@ from tessera.llm.common import hash_bytes, materialize, mix64, partitions, range
 
 GRAM = 32
 #: Bytes that are hashed at once, and bytes that are sorted at once.
-PIECE, SORTED = 1 << 20, 2 << 20
+PIECE, SORTED = 1 << 18, 1 << 20
 #: Slices of different bytes under one minimiser, beyond which their windows are compared by hash.
 CROWD = 4096
 #: Documents in the routing sample, and the share of them that makes a minimiser hot.
