@@ -10,7 +10,8 @@ Equal vectors are one class from the start and link with each other; a class is
 than LIST is cut into blocks of some LIST entries, and every two of its blocks are a task's group, so that no group is
 unbounded and no pair is left out.
 
-The reference points are a bounded sample (`pivots` of the distinct vectors, by hash), everything else covers every row.
+The reference points come from a bounded sample (SAMPLE distinct vectors, by hash; at most `pivots` of them, well apart from each
+other), everything else covers every row.
 What the index misses is a parameter's choice: tests and README give the recall measured against brute force.
 
 Defined results: null, zero, empty vectors and those with null or non-finite components link with nothing, nor do rows with
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, connected_components, materialize, min_labels
 
 PIVOTS, NEAREST, SHARED, LIST = 512, 6, 2, 4096
+#: Vectors that pivots are picked from, and the cosine from which two are too close to be both picked.
+SAMPLE, APART = 4096, 0.9
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -39,6 +42,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def separated(x: np.ndarray, most: int, cosine: float) -> np.ndarray:
+    """Unit vectors, in order, that are no closer than the cosine to one taken before; at most so many. In a dense region more
+    of them would order each other's neighbourhood finer than the links that are looked for."""
+    x, taken = _unit(x), np.zeros((0, x.shape[1]))
+    for v in x:
+        if len(taken) == most:
+            break
+        if not len(taken) or (taken @ v).max() < cosine:
+            taken = np.vstack([taken, v])
+    return taken
+
+
 def nearest(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     """The k pivots of the largest cosine, nearest first, smaller number first on ties."""
     if x.shape[1] != pivots.shape[1]:
@@ -111,11 +126,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     classes = rows.where("same is not null").groupBy("same", "label").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least"))
     # the node's number is 63 bits of the digest: two classes in one would take some 2^31 classes
     classes = materialize(classes.withColumn("node", F.shiftrightunsigned(F.conv(F.substring("same", 1, 16), 16, -10).cast("long"), 1)))
-    sample = classes.orderBy("same").limit(pivots).select("v").collect()
+    sample = classes.orderBy("same").limit(SAMPLE).select("v").collect()
     sizes: dict[int, list] = {}
     for r in sample:
         sizes.setdefault(len(r["v"]), []).append(r["v"])
-    table = {d: _unit(np.array(v, np.float64)) for d, v in sizes.items()}
+    table = {d: separated(np.array(v, np.float64), pivots, APART) for d, v in sizes.items()}
     told = spark.sparkContext.broadcast(table)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
