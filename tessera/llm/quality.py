@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = rows.select("id", "text", F.col("y").cast("double").alias("y")).mapInArrow(run, "id long, x binary, y double").collect()
     got = sorted(got, key=lambda r: (r["id"], r["x"]))
-    x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(len(got), 2 * DIM)
     return Model(table, Network().fit(x, np.array([min(1.0, max(0.0, r["y"])) for r in got])))
 
 
