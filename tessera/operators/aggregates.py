@@ -47,9 +47,10 @@ def micro_macro(numerator: Column, denominator: Column, weight: Column | None =
 def nested_micro_macro(df: DataFrame, outer: str, numerator: str, denominator: str) -> DataFrame:
     """(micro_micro, micro_macro, macro_micro, macro_macro): how rows are averaged inside a group, then the groups."""
     n, d = F.col(numerator), F.col(denominator)
-    g = df.groupBy(outer).agg(F.sum(n).alias("n"), F.sum(d).alias("d"), F.sum(n / d).alias("r"), F.count("*").alias("k"))
-    g = g.withColumn("micro", F.col("n") / F.col("d")).withColumn("macro", F.col("r") / F.col("k"))
-    return g.agg((F.sum("n") / F.sum("d")).alias("micro_micro"), (F.sum("r") / F.sum("k")).alias("macro_micro"), F.avg("micro").alias("micro_macro"), F.avg("macro").alias("macro_macro"))
+    g = df.groupBy(outer).agg(F.sum(n).alias("__n"), F.sum(d).alias("__d"), F.sum(n / d).alias("__r"), F.count("*").alias("__k"))
+    g = g.withColumn("__micro", F.col("__n") / F.col("__d")).withColumn("__macro", F.col("__r") / F.col("__k"))
+    sums = (F.sum("__n") / F.sum("__d")).alias("micro_micro"), (F.sum("__r") / F.sum("__k")).alias("macro_micro")
+    return g.agg(*sums, F.avg("__micro").alias("micro_macro"), F.avg("__macro").alias("macro_macro"))
 
 
 def mean_std(value: Column) -> tuple[Column, Column]:

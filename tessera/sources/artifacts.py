@@ -37,7 +37,7 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_word_list(df: DataFrame, path: str, ordered: bool = True) -> None:
-    out = df.select(F.translate("word", "\t\r\n", "\0\0\0").alias("word"), "count")
+    out = df.select(F.regexp_replace("word", "[\t\r\n]", "\0").alias("word"), "count")
     (out.orderBy(F.desc("count"), "word") if ordered else out).write.mode("overwrite").csv(path, sep="\t", quote="", escape="")
 
 
