@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.operators.windows import global_rank
 
 #: A vocabulary up to this many types goes to every executor; a larger one is joined by shuffle.
 BROADCAST_TYPES = 1_000_000
@@ -17,8 +18,7 @@ def _side(vocab: DataFrame, size: int | None) -> DataFrame:
 def absolute_ids(types: DataFrame, taken: list[int], rank: str = "rank") -> DataFrame:
     """(type, id): types in order of rank fill the smallest ids that specials and UNK leave free; the first occurrence counts."""
     first = types.groupBy("type").agg(F.min(rank).alias(rank))
-    row = Window.orderBy(rank)
-    ranked = first.withColumn("id", F.row_number().over(row) - 1)
+    ranked = global_rank(first, F.col(rank), F.col("type"), out="id")
     for t in sorted(set(taken)):  # every taken id at or below shifts the rest up by one
         ranked = ranked.withColumn("id", F.when(F.col("id") >= t, F.col("id") + 1).otherwise(F.col("id")))
     return ranked.select("type", F.col("id").cast("long").alias("id"))
@@ -33,7 +33,7 @@ def relative_ids(types: DataFrame, before: list[str], after: list[str], rank: st
 
 
 def compacted(vocab: DataFrame) -> DataFrame:
-    return vocab.select("type", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("id"))
+    return global_rank(vocab.select("type", F.col("id").alias("old")), F.col("old"), out="id").select("type", "id")
 
 
 def to_ids(tokens: DataFrame, vocab: DataFrame, unk: int | None, token: str = "token", size: int | None = None) -> DataFrame:

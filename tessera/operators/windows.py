@@ -27,6 +27,33 @@ def mattr(tokens: DataFrame, size: int = 2000, stride: int = 1000, by: tuple[str
     return both.groupBy(*by).agg(F.sum(F.when(full | rest, 1).otherwise(0)).alias("windows"), (s / w).alias("mattr"))
 
 
+def global_rank(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
+    """df with its rows' numbers, from 0, in the order of all rows: ranged over tasks, ranked in each, and moved by the sizes of the
+    ranges before (as many as there are partitions). No task sees more than its range."""
+    from tessera.sources.artifacts import checkpoint
+
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = checkpoint(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__c"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return ranged.withColumn("__i", inside).join(F.broadcast(sizes), "__p").withColumn(out, (F.col("__i") + F.col("__base")).cast("long")).drop("__p", "__i", "__base")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, span: int = 4096) -> DataFrame:
+    """df with the running sum of value per key, in order (the first of which is a whole number), this row included.
+
+    Sums per key and span of the order come first, so that a key with very many rows is spread over many tasks."""
+    rows = df.withColumn("__s", F.floor(F.col(order[0]) / span)).withColumn("__v", value)
+    spans = rows.groupBy(*keys, "__s").agg(F.sum("__v").alias("__m"))
+    before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("__base", F.coalesce(F.sum("__m").over(before), F.lit(0))).drop("__m")
+    inside = Window.partitionBy(*keys, "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__r", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
+    return rows.join(spans, [*keys, "__s"]).withColumn(out, F.col("__r") + F.col("__base")).drop("__s", "__v", "__r", "__base")
+
+
 def buckets(df: DataFrame, key: str | list[str], order: str | list[str], every: int, weight: str | None = None) -> DataFrame:
     """df with bucket: the number of whole `every` observations of the key before this one, in order."""
     keys, orders = ([x] if isinstance(x, str) else x for x in (key, order))

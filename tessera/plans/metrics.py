@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import scalars as C
 from tessera.functions import splitters as S
@@ -330,8 +329,8 @@ def periodic(spark, sf_dir):
 
 @query("srt02_word_list", f"select token as word, n::bigint as count, (row_number() over (order by n desc, token))::bigint as rank from {COUNTS}")
 def word_list(spark, sf_dir):
-    c = counts(spark, sf_dir)
-    return c.select(F.col("token").alias("word"), F.col("n").alias("count"), F.row_number().over(Window.orderBy(F.desc("n"), "token")).cast("long").alias("rank"))
+    c = counts(spark, sf_dir).select(F.col("token").alias("word"), F.col("n").alias("count"))
+    return W.global_rank(c, F.desc("count"), F.col("word")).withColumn("rank", F.col("rank") + 1)
 
 
 @query("srt03_top_types", f"select token, n::bigint as n from {COUNTS} order by n desc, token limit 100")

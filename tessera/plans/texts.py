@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import bytes as B
 from tessera.functions import perturb as P
@@ -12,6 +11,7 @@ from tessera.functions import splitters as S
 from tessera.functions import text as T
 from tessera.operators import tokens as TK
 from tessera.operators import vocab as V
+from tessera.operators import windows as W
 from tessera.operators.segment import native as N
 from tessera.plans import prefabs
 from tessera.plans.catalog import TOKENS, WORDS, WS, query, table, words
@@ -200,7 +200,7 @@ VOCAB = f"(select token as type, (row_number() over (order by n desc, token) - 1
 
 def benchmark_vocab(spark, sf_dir):
     c = TK.explode_tokens(table(spark, sf_dir, "benchmark", "text"), WS(F.col("text"))).groupBy(F.col("token").alias("type")).agg(F.count("*").alias("n"))
-    return c.select("type", (F.row_number().over(Window.orderBy(F.desc("n"), "type")) - 1).cast("long").alias("rank"))
+    return W.global_rank(c, F.desc("n"), F.col("type")).select("type", "rank")
 
 
 @query("wrp11_absolute_ids", f"select type, (rank + (case when rank >= 0 then 1 else 0 end) + (case when rank + 1 >= 5 then 1 else 0 end))::bigint as id from {VOCAB}")

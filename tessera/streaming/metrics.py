@@ -22,27 +22,37 @@ WS = on_regex(r"[ \n\t\r]+")
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """A stream of the Parquet files under a path (a file's own path works as well)."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).options(**options).parquet(path)
+    """A stream of the Parquet files under a folder, or of the one file that the path names."""
+    schema, path = spark.read.parquet(path).schema, path.rstrip("/")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(fs_path).isFile():
+        folder, _, name = path.rpartition("/")
+        return spark.readStream.schema(schema).options(pathGlobFilter=name, **options).parquet(folder)
+    return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(WS(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need instants; times without a zone are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by event-time window; what is later than the watermark is left out, and state before it goes."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    w = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"))
     return w.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    s = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    s = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
 def streaming_mattr(docs: DataFrame, by: str, size: int, stride: int, text: str = "text") -> DataFrame:
