@@ -227,7 +227,7 @@ def shuffled(merges: list[tuple[str, ...]], seed: int = 0, constrained: bool = T
     return out
 
 
-def knocked_out(merges: list[tuple[str, ...]], remove: set[str]) -> list[tuple[str, ...]]:
+def bypassed(merges: list[tuple[str, ...]], remove: set[str]) -> list[tuple[str, ...]]:
     """Without the merges that form the given types; what used them takes their parts instead, so merges may get more parts."""
     parts = first_parts(merges)
 
@@ -238,8 +238,8 @@ def knocked_out(merges: list[tuple[str, ...]], remove: set[str]) -> list[tuple[s
 
 
 def ensured(merges: list[tuple[str, ...]], wanted: list[str], forbidden: frozenset[str] = frozenset(), atomise=atoms) -> list[tuple[str, ...]]:
-    """Merges grafted so that every wanted string becomes one token; as many of the latest unprotected ones go; forbidden types are knocked out."""
-    merges = knocked_out(merges, set(forbidden))
+    """Merges grafted so that every wanted string becomes one token; as many of the latest unprotected ones go; forbidden types are bypassed."""
+    merges = bypassed(merges, set(forbidden))
     n, kept = len(merges), set(wanted)
     for w in wanted:
         tokens = classic(merges, atomise)(w)

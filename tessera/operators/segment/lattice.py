@@ -130,7 +130,7 @@ def uniform(word: str, rng) -> list[str]:
     return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def grampa(vocab: frozenset[str], temperature: float = 1.0, least: int = 1):
+def by_path_counts(vocab: frozenset[str], temperature: float = 1.0, least: int = 1):
     """Random path, backwards by the number of paths that reach each predecessor, raised to 1 / temperature.
 
     At temperature 1 every segmentation is equally likely. Without a path the word falls into characters."""
@@ -160,7 +160,7 @@ def grampa(vocab: frozenset[str], temperature: float = 1.0, least: int = 1):
 
 
 def joint_probability(word: str, tokens: list[str], vocab: frozenset[str]) -> float:
-    """Of a segmentation under grampa at temperature 1."""
+    """Of a segmentation under by_path_counts at temperature 1."""
     ways = path_counts(word, vocab.__contains__)
     p, j = 1.0, len(word)
     for t in reversed(tokens):

@@ -87,8 +87,8 @@ def stems_fine(stems: DataFrame, words: DataFrame, prefixes: list[str], suffixes
     return stems.join(seen, "type", "left_semi")
 
 
-def knockout_blame(df: DataFrame, tokens: str, morphs: str) -> DataFrame:
-    """(type, right, wrong, ratio): how often a token crosses a morph boundary; the trainer knocks out types above a ratio of 0.5."""
+def boundary_blame(df: DataFrame, tokens: str, morphs: str) -> DataFrame:
+    """(type, right, wrong, ratio): how often a token crosses a morph boundary; the trainer bypasses types above a ratio of 0.5."""
     from tessera.functions.scalars import token_starts
     from tessera.operators.morphology import spans
 

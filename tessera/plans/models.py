@@ -55,7 +55,7 @@ def sampled(kernel):
 
 for _name, _kernel in {
     "tok01_bpe": lambda s, d: bpe.classic(merges(s, d).merges),
-    "tok06_knockout_bpe": lambda s, d: bpe.classic(bpe.knocked_out((r := merges(s, d)).merges, {"".join(m) for m in r.merges[5:60:7]})),
+    "tok06_bypassed_bpe": lambda s, d: bpe.classic(bpe.bypassed((r := merges(s, d)).merges, {"".join(m) for m in r.merges[5:60:7]})),
     "tok07_picky_bpe": lambda s, d: bpe.events(train_bpe.fit(benchmark_counts(s, d), 300, picky=0.9).events),
     "tok08_scaffold_bpe": lambda s, d: bpe.decomposing((r := train_bpe.fit(benchmark_counts(s, d), 300, scaffold=True)).merges, frozenset(r.removed)),
     "tok09_ensured_bpe": lambda s, d: bpe.classic(bpe.ensured(merges(s, d).merges, ["therefore", "question"])),
@@ -85,7 +85,7 @@ for _name, _kernel in {
     "tok04_bpe_breakdown": lambda s, d: bpe.breakdown(merges(s, d).merges, 0.33),
     "tok30_uniform_segmentation": lambda s, d: lattice.uniform,
     "tok31_uniform_by_enumeration": lambda s, d: lattice.uniform_by_enumeration(vocabulary(s, d)),
-    "tok34_grampa": lambda s, d: lattice.grampa(vocabulary(s, d)),
+    "tok34_by_path_counts": lambda s, d: lattice.by_path_counts(vocabulary(s, d)),
     "tok36_random_splits": lambda s, d: lattice.random_splits(greedy.left_greedy(v := vocabulary(s, d)), v, 0.5),
 }.items():
     query(_name)(sampled(_kernel))
@@ -178,12 +178,12 @@ def stems(spark, sf_dir):
     return other.stems_fine(other.stems_coarse(t, 4), distinct_words(spark, sf_dir), [], ["ed", "ly"])
 
 
-@query("trn12_knockout_blame")
-def knockout_blame(spark, sf_dir):
+@query("trn12_boundary_blame")
+def boundary_blame(spark, sf_dir):
     from tessera.operators.segment.native import ngrams
 
     w = benchmark_counts(spark, sf_dir).withColumn("t", column(bpe.classic(merges(spark, sf_dir).merges))(F.col("word"))).withColumn("m", ngrams(4)(F.col("word")))
-    return other.knockout_blame(w, "t", "m")
+    return other.boundary_blame(w, "t", "m")
 
 
 @query("trn18_entropy_constrained_size")
