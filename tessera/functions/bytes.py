@@ -29,15 +29,15 @@ def latin_table() -> list[str]:
 
 def byte_mapping(table: list[str]) -> Mapper:
     """UTF-8 bytes as the table's characters; backwards, bytes that aren't UTF-8 decode to U+FFFD."""
-    to = F.create_map(*(F.lit(x) for b, c in enumerate(table) for x in (f"{b:02X}", c)))
-    back = F.create_map(*(F.lit(x) for b, c in enumerate(table) for x in (c, f"{b:02X}")))
+    codes = lambda flip: F.create_map(*(F.lit(x) for b, c in enumerate(table) for x in ((c, f"{b:02X}") if flip else (f"{b:02X}", c))))
 
     def convert(c: Column) -> Column:
-        codes = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("(..)"), 1)
-        return F.array_join(F.transform(codes, lambda x: F.element_at(to, x)), "")
+        pairs, to = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("(..)"), 1), codes(False)
+        return F.array_join(F.transform(pairs, lambda x: F.element_at(to, x)), "")
 
     def invert(c: Column) -> Column:
         signs = F.filter(F.split(F.replace(c, F.lit(" "), F.lit(table[32])), ""), lambda x: x != "")
+        back = codes(True)
         raw = F.unhex(F.array_join(F.transform(signs, lambda x: F.element_at(back, x)), ""))
         return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.make_valid_utf8(raw.cast("string")))
 

@@ -32,7 +32,7 @@ def geometric(p: float, most: int):
     return lambda n, rng: rng.choice(n, size=min(n, most, int(rng.geometric(p)) - 1), replace=False) if n else np.zeros(0, int)
 
 
-def gobble(p: float, key: Column, seed: int = 0) -> Map:
+def gobble(p: float, key: str, seed: int = 0) -> Map:
     return lambda c: F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) < int(p * (1 << 20)), F.lit("")).otherwise(c)
 
 
@@ -41,7 +41,6 @@ def fixed_truncate(start: int, end: int) -> Map:
 
 
 def _kernel(p: float, sampler, edit: Callable[[list[str], np.ndarray, np.random.Generator], list[str]], seed: int, extra: int = 0) -> Map:
-    @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         import zlib
 
@@ -54,7 +53,7 @@ def _kernel(p: float, sampler, edit: Callable[[list[str], np.ndarray, np.random.
             out.append("".join(edit(list(t), np.sort(sampler(len(t) + extra, rng)), rng)) if rng.random() < p else t)
         return pa.array(out, pa.string())
 
-    return lambda c: run(c)
+    return lambda c: F.arrow_udf(run, "string")(c)
 
 
 def _sampler(rate):
@@ -116,7 +115,7 @@ def series(*maps: Map) -> Map:
     return compose(*maps)
 
 
-def one_of(key: Column, *maps: Map, seed: int = 5) -> Map:
+def one_of(key: str, *maps: Map, seed: int = 5) -> Map:
     """Exactly one of the maps, by the key's hash."""
 
     def run(c: Column) -> Column:

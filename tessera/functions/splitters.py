@@ -77,9 +77,8 @@ def into_space_prefixed(prefix: bool = True) -> Split:
 
 def on_whitespace_marked(marker: Marker) -> Split:
     """Split on white space; a piece that had some before it (after it, for a mark at the end) gets the mark."""
-    mark = F.lit(marker.substitute)
-
     def run(c: Column) -> Column:
+        mark = F.lit(marker.substitute)
         words = on_whitespace()(c)
         n = F.size(words)
         if marker.side == Side.END:
@@ -169,9 +168,8 @@ def isolate_contractions(nt: bool = True) -> Split:
 
 
 def add_word_boundary(marker: Marker) -> Split:
-    mark = F.lit(marker.substitute)
-
     def run(c: Column) -> Column:
+        mark = F.lit(marker.substitute)
         if marker.side == Side.ISOLATED:
             return F.array(mark, c)
         if marker.detached:
@@ -183,10 +181,8 @@ def add_word_boundary(marker: Marker) -> Split:
 
 def regroup_at_marks(marker: Marker) -> Split:
     """Inverse of add_word_boundary: pieces join into words that begin (or end) with the mark, which goes."""
-    m = F.lit(marker.substitute)
-
     def run(c: Column) -> Column:
-        text = F.array_join(c, "")
+        text, m = F.array_join(c, ""), F.lit(marker.substitute)
         return _full(F.split(F.replace(text, m, F.lit(CUT)), CUT))
 
     return run

@@ -183,13 +183,12 @@ def turkish_capitals(c: Column) -> Column:
 
 def normalise(form: str = "NFKC") -> Map:
     """Unicode normalisation; rows of ASCII alone never leave the JVM."""
-    @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         import unicodedata
 
         return pa.array([None if t is None else unicodedata.normalize(form, t) for t in texts.to_pylist()], pa.string())
 
-    return lambda c: F.when(c.rlike(r"\A\p{ASCII}*\z"), c).otherwise(run(c))
+    return lambda c: F.when(c.rlike(r"\A\p{ASCII}*\z"), c).otherwise(F.arrow_udf(run, "string")(c))
 
 
 def truncate_and_normalise(n: int) -> Map:
