@@ -29,7 +29,7 @@ PERIOD = 4096
 #: Sources are collected with their sizes; more than this many are refused.
 SOURCES = 2048
 #: Rows that one task ranks at once, on average.
-RANKED = 100_000
+RANKED = 10_000
 
 
 def integer_weights(weights: list[float], period: int = PERIOD) -> list[int]:
