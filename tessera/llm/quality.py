@@ -3,7 +3,8 @@
 Word vectors: every token (a run of letters and digits, or of other signs) falls into one of BUCKETS hashed buckets,
 each with a fixed sparse random index vector. Over all documents, a bucket's row sums the index vectors of the two
 tokens on either side. The sums are integers, so their order doesn't matter; the table's size doesn't depend on the
-corpus. A document's features are the frequency-weighted mean of its tokens' vectors and of their squares.
+corpus. A document's features pool its tokens' frequency-weighted vectors, their squares, and their
+products with the next two tokens' vectors.
 
 The network (one hidden layer, numpy) is fitted on the driver from at most `sample` labelled rows, chosen by the hash
 of the id; a part of them is kept out of the fitting and sets the temperature that calibrates the probabilities.
@@ -27,6 +28,8 @@ from tessera.llm.common import mix64, partitions, text_bytes
 
 BUCKETS, DIM, NONZERO, NEAR = 1 << 15, 32, 4, (1, 2)
 BLOCK = 512
+#: Weight of nothing in every pool.
+PRIOR = 3.0
 PIECE = 1 << 18
 _P = 0x9E3779B97F4A7C15
 _cache: dict = {}
@@ -155,13 +158,28 @@ def word_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def features(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """(len(texts), 2 * DIM): pooled vectors and squares; zero without tokens."""
-    out = np.zeros((len(texts), table.shape[1]), np.float64)
+    """(len(texts), 4 * DIM): pooled vectors, squares, and products with the next token and the one after; zero without tokens.
+
+    Products see what a mean can't: how alike neighbours are. Pools are divided by their weight plus PRIOR, so that a few tokens
+    say less than many."""
+    mean = np.zeros((len(texts), 2 * DIM + 1))
+    product = np.zeros((len(texts), len(NEAR), DIM + 1))
     for b, doc in tokens(texts):
-        if len(b):
-            cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            out[doc[cut]] += np.add.reduceat(table[b], cut, axis=0)
-    return out[:, :-1] / np.maximum(out[:, -1:], 1e-12)
+        if not len(b):
+            continue
+        g = table[b]
+        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        mean[doc[cut]] += np.add.reduceat(g, cut, axis=0)
+        for i, k in enumerate(NEAR):
+            if len(b) > k:
+                same = doc[k:] == doc[:-k]
+                both = np.concatenate([g[:-k, :DIM] * g[k:, :DIM], g[:-k, -1:] * g[k:, -1:]], axis=1)[same]
+                owner = doc[:-k][same]
+                if len(owner):
+                    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                    product[owner[cut], i] += np.add.reduceat(both, cut, axis=0)
+    pools = [mean[:, :-1] / (mean[:, -1:] + PRIOR), *(product[:, i, :-1] / (product[:, i, -1:] + PRIOR) for i in range(len(NEAR)))]
+    return np.concatenate(pools, axis=1)
 
 
 class Network:
@@ -247,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = rows.select("id", "text", F.col("y").cast("double").alias("y")).mapInArrow(run, "id long, x binary, y double").collect()
     got = sorted(got, key=lambda r: (r["id"], r["x"]))
-    x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(len(got), 2 * DIM)
+    x = np.array([np.frombuffer(r["x"]) for r in got]).reshape(len(got), (2 + len(NEAR)) * DIM)
     return Model(table, Network().fit(x, np.array([min(1.0, max(0.0, r["y"])) for r in got])))
 
 
