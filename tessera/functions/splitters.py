@@ -82,8 +82,9 @@ def on_whitespace_marked(marker: Marker) -> Split:
         words = on_whitespace()(c)
         n = F.size(words)
         if marker.side == Side.END:
-            last = c.rlike(java(BLANK + r"\z"))
-            return F.transform(words, lambda w, i: F.when((i < n - 1) | last, F.concat(w, mark)).otherwise(w))
+            head = F.transform(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda w: F.concat(w, mark))
+            tail = F.slice(words, F.greatest(n, F.lit(1)), F.lit(1))
+            return F.concat(head, F.when(c.rlike(java(BLANK + r"\z")), F.transform(tail, lambda w: F.concat(w, mark))).otherwise(tail))
         first = c.rlike(java(r"\A" + BLANK))
         if marker.side == Side.START:
             return F.transform(words, lambda w, i: F.when((i > 0) | first, F.concat(mark, w)).otherwise(w))

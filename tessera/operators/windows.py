@@ -72,7 +72,8 @@ def collapse_runs(df: DataFrame, value: str, order: str, by: tuple[str, ...] = (
 def zip_offset(arr: Column, k: int) -> Column:
     """Pairs of element i and element i + k."""
     n = F.greatest(F.size(arr) - k, F.lit(0))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(arr, i).alias("a"), F.get(arr, i + k).alias("b"))))
+    # the array is evaluated outside of the lambda, so once a row and not once an element
+    return F.zip_with(F.slice(arr, F.lit(1), n), F.slice(arr, F.lit(k + 1), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def periodic(df: DataFrame, pos: str, period: int, choices: int) -> DataFrame:
