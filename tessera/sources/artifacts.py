@@ -32,13 +32,15 @@ def corpus(spark: SparkSession, path: str, text: str = "text", *keep: str, fmt:
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
-    """word<TAB>count lines; NUL stands for a tab or line break in the word."""
-    return spark.read.csv(path, sep="\t", schema="word string, count long", quote="", escape="")
+    """word<TAB>count lines; NUL stands for a tab or line break in the word. (The CSV reader would take NUL for its quote.)"""
+    parts = F.split("value", "\t")
+    return spark.read.text(path).where(F.size(parts) == 2).select(parts[0].alias("word"), parts[1].cast("long").alias("count"))
 
 
 def write_word_list(df: DataFrame, path: str, ordered: bool = True) -> None:
-    out = df.select(F.regexp_replace("word", "[\t\r\n]", "\0").alias("word"), "count")
-    (out.orderBy(F.desc("count"), "word") if ordered else out).write.mode("overwrite").csv(path, sep="\t", quote="", escape="")
+    out = df.orderBy(F.desc("count"), "word") if ordered else df
+    word = F.regexp_replace("word", "[\\t\\r\\n]", "\0")
+    out.select(F.concat(word, F.lit("\t"), F.col("count").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
 def from_counter(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
