@@ -303,6 +303,15 @@ def test_html_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_self_closed_svg_ends_at_once():
+    got = lambda source: html.Page(source).main()
+    assert got('<p>a<svg class="i"/>b</p><p>rest</p>') == got('<p>a<svg class="i"></svg>b</p><p>rest</p>') == "a\nb\nrest"
+    assert got("<article><p>a</p><SVG viewBox='0 0 > 1' /><p>b</p><svg><path d=''/>no</svg><p>c</p></article>") == "a\nb\nc"
+    assert got("<p>a</p><svg class=i/>no</svg><p>b</p>") == got('<p>a</p><svg><svg class="i"/>no</svg><p>b</p>') == "a\nb"
+    for tag in ("script", "textarea", "iframe"):
+        assert got(f'<p>a</p><{tag} class="i"/>no</{tag}><p>b</p>') == "a\nb"
+
+
 def test_html_wrapper_finds_constants(spark):
     page = "<div><span>Site</span><p>Daily Site</p><ul>{}</ul><p>{}</p></div>"
     rows = [(i, "http://a.example/x", page.format("<li>x</li>" * (i + 1), f"story {i}")) for i in range(4)]
