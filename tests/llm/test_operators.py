@@ -312,6 +312,25 @@ def test_html_self_closed_svg_ends_at_once():
         assert got(f'<p>a</p><{tag} class="i"/>no</{tag}><p>b</p>') == "a\nb"
 
 
+LAYOUTS = [
+    '<body class="right-sidebar"><article><p>x</p></article></body>',
+    '<html class="js-comments"><body class="single comments-open sticky-header"><p>x</p></body></html>',
+    '<div class="content-with-sidebar"><p>x</p></div>',
+    '<article class="post social"><p>x</p></article>',
+    '<main id="newsletter"><p>x</p></main>',
+    '<div class="sidebar"><div class="menu"><main><p>x</p></main></div><div class="menu">no</div><p>no</p></div>',
+    '<div class="layout sidebar"><article class="post social"><p>x</p><div class="comments"><article class="comment"><p>no</p></article></div></article><div class="site-footer">no</div></div>',
+    '<article><p>x</p></article><div class="related-posts"><article><p>no</p></article></div>',
+    '<div id="content"><p>x</p><div class="share-buttons">no</div></div><div id="comments"><article class="comment-body"><p>no</p></article></div>',
+    '<aside><article><p>no</p></article></aside><article><p>x</p><div class="widget">no</div></article>',
+]
+
+
+def test_html_layout_names_keep_the_article():
+    for source in LAYOUTS:
+        assert html.Page(source).main() == "x", source
+
+
 def test_html_wrapper_finds_constants(spark):
     page = "<div><span>Site</span><p>Daily Site</p><ul>{}</ul><p>{}</p></div>"
     rows = [(i, "http://a.example/x", page.format("<li>x</li>" * (i + 1), f"story {i}")) for i in range(4)]
