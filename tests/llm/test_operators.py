@@ -343,6 +343,27 @@ def test_html_wrapper_finds_constants(spark):
     assert "(<li>" in wrapper.expression() and "#TEXT" in wrapper.expression()
 
 
+def main_texts(sources):
+    wrappers = {}
+    for source in sources:
+        html._merge(wrappers, "h", html.Page(source).root)
+    found = html.constants(html.Node.unpack(wrappers["h"].pack()))
+    return [html.Page(source).main(found) for source in sources]
+
+
+def test_html_constants_are_whole_texts():
+    head = "word " * 60
+    assert main_texts([f"<div><p>{head}{i}</p></div><p>own {i}</p>" for i in range(4)]) == [f"{head}{i}\nown {i}" for i in range(4)]
+    assert main_texts([f"<div><p>{head}</p></div><p>own {i}</p>" for i in range(4)]) == [f"own {i}" for i in range(4)]
+
+
+def test_html_copies_are_no_template():
+    page = "<div><p>story</p></div><h2>end</h2><!-- {0} --><footer>{0}</footer>"
+    assert main_texts([page.format(i) for i in range(5)]) == ["story\nend"] * 5
+    assert main_texts([page.format(i) for i in range(5)] + ["<div><p>story</p></div><h2>other</h2>"]) == ["story\nend"] * 5 + ["story\nother"]
+    assert main_texts(["<ul><li>same</li><li>same</li></ul>"] * 4) == ["same\nsame"] * 4
+
+
 def test_html_matches_articles_of_the_table(spark, sf):
     import html as stdlib
 
