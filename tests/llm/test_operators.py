@@ -364,6 +364,12 @@ def test_html_copies_are_no_template():
     assert main_texts(["<ul><li>same</li><li>same</li></ul>"] * 4) == ["same\nsame"] * 4
 
 
+def test_html_wrapper_counts_within_the_article():
+    page = '<article><h1>T{0}</h1><div class="x1">Share <a>here</a> <a>there</a></div><p>own {0}</p><ul class="q"><li>ours</li><li>ours</li></ul><ul><li>a {0}</li><li>b</li></ul></article>'
+    assert main_texts([page.format(i) for i in range(4)]) == [f"T{i}\nown {i}\na {i}\nb" for i in range(4)]
+    assert main_texts([page.format(i) for i in range(2)])[1] == "T1\nShare here there\nown 1\nours\nours\na 1\nb"
+
+
 def test_html_matches_articles_of_the_table(spark, sf):
     import html as stdlib
 
