@@ -5,9 +5,10 @@ release time floor(j / w) and the deadline ceil((j + 1) / w), in slots of one bl
 released blocks fills one slot after the other; the weights sum to 1, so every deadline is met, and at any time a
 source has had its share of the slots to within less than one block.
 
-Weights are integers over PERIOD, so the schedule repeats: one period is laid out on the driver, and block j sits
-in slot (j div q) * PERIOD + place[j mod q]. When a source runs out, the rest go on with their weights in proportion,
-from that slot: an epoch per source at most. Every row is placed, none twice.
+Release times and deadlines are exact: the weights, as the doubles they are, are integers over their sum, of any size.
+The schedule of all blocks is laid out on the driver, a block after the other, and sent out as one slot number a block.
+When a source runs out, the rest go on with their weights in proportion, from that slot: an epoch per source at most.
+Every row is placed, none twice.
 
 Defined results: a null source is a source of its own; sources without a target weight get the smallest given one; a
 weight of 0 or less is refused; repeated rows are placed separately; the order of rows that equal each other in
@@ -17,6 +18,9 @@ id and text is open; an empty table gives an empty result; other columns stay as
 from __future__ import annotations
 
 import heapq
+from array import array
+from fractions import Fraction
+from math import gcd, inf, lcm
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Slots in a period. A source's weight is a multiple of 1 / PERIOD, at least one.
-PERIOD = 4096
 #: Sources are collected with their sizes; more than this many are refused.
 SOURCES = 2048
 #: Rows that one task ranks at once, on average.
 RANKED = 10_000
 
 
-def integer_weights(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Largest remainders: positive integers that sum to the period, close to the weights' shares."""
+def integer_weights(weights: list[float], period: int | None = None) -> list[int]:
+    """Positive integers in the exact ratio of the weights; with a period, such that sum to it, close to the weights' shares (largest remainders)."""
     if any(not w > 0 for w in weights):
         raise ValueError("weights must be positive")
+    if period is None:
+        exact = [Fraction(w) for w in weights]
+        whole = [int(x * lcm(*(x.denominator for x in exact))) for x in exact]
+        return [n // gcd(*whole) for n in whole]
     total = sum(weights)
     exact = [w / total * period for w in weights]
     q = [max(1, int(x)) for x in exact]
@@ -50,58 +56,58 @@ def integer_weights(weights: list[float], period: int = PERIOD) -> list[int]:
     return q
 
 
-def schedule(q: list[int], period: int = PERIOD) -> list[np.ndarray]:
-    """Per source, the slots of its q blocks within one period, by earliest deadline first among released blocks."""
-    release = [[] for _ in range(period + 1)]
-    for i, n in enumerate(q):
-        for j in range(n):
-            release[j * period // n].append((-(-(j + 1) * period // n), i, j))
-    ready, place = [], [np.zeros(n, np.int64) for n in q]
-    for t in range(period):
-        for block in release[t]:
-            heapq.heappush(ready, block)
-        deadline, i, j = heapq.heappop(ready)
+def serve(shares: list[int], blocks: list[float], slots: float = inf) -> array:
+    """The source of slot after slot, by earliest deadline first among released blocks, until a source has had its blocks or the slots are full."""
+    total, done, order = sum(shares), [0] * len(shares), array("i")
+    # a source's next block waits for its release, then for its turn
+    later, ready = [], [(-(-total // n), i) for i, n in enumerate(shares)]
+    heapq.heapify(ready)
+    t = 0
+    while t < slots:
+        while later and later[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(later)[1:])
+        deadline, i = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a deadline is missed")
-        place[i][j] = t
-    return place
-
-
-def epochs(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[tuple[int, dict[int, tuple[int, int, np.ndarray]]]]:
-    """[(first slot, {source: (first block, q, places)})]: the schedule of all blocks; a new epoch as sources run out."""
-    done, left, slot, out = [0] * len(blocks), [i for i, n in enumerate(blocks) if n > 0], 0, []
+        order.append(i)
+        t += 1
+        done[i] = j = done[i] + 1
+        if j >= blocks[i]:
+            break
+        release, deadline = j * total // shares[i], -(-(j + 1) * total // shares[i])
+        if release <= t:
+            heapq.heappush(ready, (deadline, i))
+        else:
+            heapq.heappush(later, (release, deadline, i))
+    return order
+
+
+def split(order: array, n: int) -> list[np.ndarray]:
+    """Per source, its slots."""
+    order = np.frombuffer(order, np.intc) if len(order) else np.zeros(0, np.intc)
+    return np.split(np.argsort(order, kind="stable"), np.cumsum(np.bincount(order, minlength=n))[:-1])
+
+
+def schedule(q: list[int], slots: int) -> list[np.ndarray]:
+    """Per source of weight q / sum(q), the slots of its blocks within the first slots."""
+    return split(serve(q, [inf] * len(q), slots), len(q))
+
+
+def epochs(blocks: list[int], weights: list[float]) -> list[np.ndarray]:
+    """Per source, the slot of each of its blocks; a new epoch as sources run out."""
+    left, slot, out = [i for i, n in enumerate(blocks) if n > 0], 0, [[] for _ in blocks]
+    done, kind = [0] * len(blocks), np.uint32 if sum(blocks) < 1 << 32 else np.int64
     while left:
-        size = max(period, len(left))
-        q = integer_weights([weights[i] for i in left], size)
-        place = schedule(q, size)
-        end = min(slot + (blocks[i] - done[i] - 1) // n * size + int(p[(blocks[i] - done[i] - 1) % n]) for i, n, p in zip(left, q, place)) + 1
-        out.append((slot, {i: (done[i], n, p) for i, n, p in zip(left, q, place)}))
-        whole, part = divmod(end - slot, size)
-        for i, n, p in zip(left, q, place):
-            done[i] += whole * n + int(np.searchsorted(p, part))
-        slot, left = end, [i for i in left if done[i] < blocks[i]]
-    return out
-
-
-def placement(plan: list, names: list) -> dict:
-    """Per source: first block, first slot, q and period of its epochs, and the places of each."""
-    out: dict = {name: ([], [], [], [], []) for name in names}
-    for start, parts in plan:
-        period = sum(q for _, q, _ in parts.values())
-        for i, (first, q, place) in parts.items():
-            for held, x in zip(out[names[i]], (first, start, q, period, place)):
-                held.append(x)
-    return {name: (*(np.array(x, np.int64) for x in v[:4]), v[4]) for name, v in out.items()}
-
-
-def place_blocks(source: tuple, block: np.ndarray) -> np.ndarray:
-    first, start, q, period, place = source
-    epoch = np.searchsorted(first, block, side="right") - 1
-    j, out = block - first[epoch], np.zeros(len(block), np.int64)
-    for e in np.unique(epoch).tolist():
-        at = epoch == e
-        out[at] = start[e] + j[at] // q[e] * period[e] + place[e][j[at] % q[e]]
-    return out
+        if len(left) == 1:
+            i = left[0]
+            out[i].append(np.arange(slot, slot + blocks[i] - done[i], dtype=kind))
+            break
+        order = serve(integer_weights([weights[i] for i in left]), [blocks[i] - done[i] for i in left])
+        for i, p in zip(left, split(order, len(left))):
+            out[i].append((p + slot).astype(kind))
+            done[i] += len(p)
+        slot, left = slot + len(order), [i for i in left if done[i] < blocks[i]]
+    return [np.concatenate(x) if x else np.zeros(0, kind) for x in out]
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, source_col: str = "source", id_col: str = "doc_id", seed: int = 0, power: float = 0.5, text_col: str | None = None) -> DataFrame:
@@ -120,7 +126,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     least = min(weights.values()) if weights else None
     w = [weights.get(s, least) if weights else float(n) ** power for s, n in sizes]
     plan = epochs([-(-n // block_rows) for _, n in sizes], w)
-    told = spark.sparkContext.broadcast(placement(plan, [s for s, _ in sizes]))
+    told = spark.sparkContext.broadcast(dict(zip([s for s, _ in sizes], plan)))
 
     @F.arrow_udf("long")
     def slot_of(sources: pa.Array, blocks: pa.Array) -> pa.Array:
@@ -128,7 +134,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
         kind, out = names.indices.to_numpy(), np.zeros(len(block), np.int64)
         for k, name in enumerate(names.dictionary.to_pylist()):
             mine = kind == k
-            out[mine] = place_blocks(told.value[name], block[mine])
+            out[mine] = told.value[name][block[mine]]
         return pa.array(out)
 
     # ranks within the source, a hot one split over many groups: buckets of the hash in order, then places in them

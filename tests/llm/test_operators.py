@@ -163,6 +163,17 @@ def test_mixing_stays_within_a_block():
         mixing.integer_weights([1, 0])
 
 
+def test_mixing_stays_within_a_block_of_the_targets():
+    sizes = [5_000_000] + [80_000 + 200 * i for i in range(19)]  # rows; square roots aren't multiples of any period
+    for blocks, weights in (([n // 16 for n in sizes], [n**0.5 for n in sizes]), ([10**6, 10**6, 40], [1, 0.6180339887, 1e-5])):
+        place = mixing.epochs(blocks, weights)
+        assert np.array_equal(np.sort(np.concatenate(place)), np.arange(sum(blocks)))
+        end = min(int(p[-1]) for p in place) + 1  # until the first source runs out
+        for w, p in zip(weights, place):
+            target = np.arange(end + 1) * (w / sum(weights))
+            assert np.abs(np.searchsorted(p, np.arange(end + 1)) - target).max() < 1
+
+
 def test_mixing_places_every_row(spark, awkward, empty):
     rows = [(i, "abc"[i % 3] if i % 7 else None, "t") for i in range(700)]
     df = spark.createDataFrame(rows, "doc_id long, source string, block string").drop("block")
