@@ -7,6 +7,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _ways(w: str, vocabulary: frozenset[str], most: int) -> int:
+    ways = [1] + [0] * len(w)
+    for j in range(1, len(w) + 1):
+        ways[j] = sum(ways[i] for i in range(max(0, j - most), j) if ways[i] and w[i:j] in vocabulary)
+    return ways[-1]
+
+
+def log_segmentations(vocabulary: frozenset[str]):
+    """Column -> double: base-2 logarithm of the ways to write a pretoken of any length; -inf if there's none."""
+    most = max(map(len, vocabulary), default=0)
+
+    @F.arrow_udf("double")
+    def run(words: pa.Array) -> pa.Array:
+        from math import inf, log2
+
+        return pa.array([None if w is None else log2(n) if (n := _ways(w, vocabulary, most)) else -inf for w in words.to_pylist()], pa.float64())
+
+    return run
+
+
 def count_segmentations(vocabulary: frozenset[str]):
     """Column -> decimal(38,0): ways to write a pretoken as types of the vocabulary. Exact up to 2^126; null beyond."""
     most = max(map(len, vocabulary), default=0)
@@ -20,10 +40,8 @@ def count_segmentations(vocabulary: frozenset[str]):
             if w is None:
                 out.append(None)
                 continue
-            ways = [1] + [0] * len(w)
-            for j in range(1, len(w) + 1):
-                ways[j] = sum(ways[i] for i in range(max(0, j - most), j) if ways[i] and w[i:j] in vocabulary)
-            out.append(Decimal(ways[-1]) if ways[-1] < 10**38 else None)
+            ways = _ways(w, vocabulary, most)
+            out.append(Decimal(ways) if ways < 10**38 else None)
         return pa.array(out, pa.decimal128(38, 0))
 
     return run

@@ -114,8 +114,10 @@ def unigram_viterbi(spark, sf_dir):
 
 @query("scl28_segmentation_counts")
 def segmentation_counts(spark, sf_dir):
-    w = distinct_words(spark, sf_dir).where(F.length("word") <= 100)
-    return w.select("word", Y.count_segmentations(vocabulary(spark, sf_dir))(F.col("word")).cast("double").alias("ways"))
+    """ways is infinite beyond doubles; log2_ways tells how many there are."""
+    v = vocabulary(spark, sf_dir)
+    w = distinct_words(spark, sf_dir).select("word", Y.count_segmentations(v)(F.col("word")).cast("double").alias("ways"), Y.log_segmentations(v)(F.col("word")).alias("log2_ways"))
+    return w.withColumn("ways", F.coalesce("ways", F.pow(F.lit(2.0), F.col("log2_ways"))))
 
 
 

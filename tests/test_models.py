@@ -154,3 +154,17 @@ def test_lzw_and_ngrams(spark):
             exact[k, w[i : i + k]] = exact.get((k, w[i : i + k]), 0) + n
     assert got == exact
     assert [r.type for r in other.ngram_vocabulary(words, 3, 2).orderBy("rank").collect()] == sorted([r for r, in [("a",), ("b",), ("ab",)]], key=lambda t: (len(t), t))
+
+
+def test_long_words_and_large_vocabularies_are_whole(spark, tmp_path):
+    from tessera.plans import metrics, models
+
+    letters = "".join(chr(0x4E00 + i) for i in range(6002))
+    for name, rows in (("a", [(1, "aaaa aaaa")]), ("b", [(1, letters)])):
+        spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    spark.createDataFrame([(1, "a" * 101 + " " + "a" * 3000, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(1, letters[-3:-1], "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    got = {len(r.word): r for r in models.segmentation_counts(spark, f"{tmp_path}/a").collect()}
+    assert sorted(got) == [101, 3000] and got[3000].ways == float("inf") and got[3000].log2_ways > 1024
+    assert abs(got[101].ways / 2 ** got[101].log2_ways - 1) < 1e-9
+    assert metrics.vocabulary_fertility(spark, f"{tmp_path}/b").first().type_per_word == 2
