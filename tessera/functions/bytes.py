@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import Mapper
+from tessera.functions.text import CharMapper
 
 
 def pseudo_table() -> list[str]:
@@ -27,26 +27,32 @@ def latin_table() -> list[str]:
     return [c if b < 128 or (unicodedata.category(c) in ("Ll", "Lu") and c != "µ") else next(letters) for b, c in enumerate(table)]
 
 
-def byte_mapping(table: list[str]) -> Mapper:
-    """UTF-8 bytes as the table's characters; backwards, bytes that aren't UTF-8 decode to U+FFFD."""
-    codes = lambda flip: F.create_map(*(F.lit(x) for b, c in enumerate(table) for x in ((c, f"{b:02X}") if flip else (f"{b:02X}", c))))
+class ByteMapper(CharMapper):
+    """UTF-8 bytes as the table's characters. Bytes are read as the first 256 characters, so that one `translate` maps them all."""
 
-    def convert(c: Column) -> Column:
-        pairs, to = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("(..)"), 1), codes(False)
-        return F.array_join(F.transform(pairs, lambda x: F.element_at(to, x)), "")
+    def __init__(self, table: list[str]):
+        super().__init__(lambda c: self._signs(c, ""), lambda c: _bytes(c, table))
+        object.__setattr__(self, "table", table)
 
-    def invert(c: Column) -> Column:
-        signs = F.filter(F.split(F.replace(c, F.lit(" "), F.lit(table[32])), ""), lambda x: x != "")
-        back = codes(True)
-        raw = F.unhex(F.array_join(F.transform(signs, lambda x: F.element_at(back, x)), ""))
-        return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.make_valid_utf8(raw.cast("string")))
+    def _signs(self, c: Column, spare: str) -> Column:
+        moved = [(chr(b), sign) for b, sign in enumerate(self.table) if chr(b) != sign and chr(b) not in spare]
+        return F.translate(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"), "".join(a for a, _ in moved), "".join(b for _, b in moved))
 
-    return Mapper(convert, invert)
+    def marked(self, c: Column) -> Column:
+        return self._signs(c, "\x01")
 
 
-def pseudo_bytes() -> Mapper:
-    return byte_mapping(pseudo_table())
+def _bytes(c: Column, table: list[str]) -> Column:
+    """Backwards; bytes that aren't UTF-8 decode to U+FFFD, characters outside of the table go."""
+    back = F.create_map(*(F.lit(x) for b, sign in enumerate(table) for x in (sign, f"{b:02X}")))
+    signs = F.filter(F.split(F.replace(c, F.lit(" "), F.lit(table[32])), ""), lambda x: x != "")
+    raw = F.unhex(F.array_join(F.transform(signs, lambda x: F.element_at(back, x)), ""))
+    return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.make_valid_utf8(raw.cast("string")))
 
 
-def latin_bytes() -> Mapper:
-    return byte_mapping(latin_table())
+def pseudo_bytes() -> CharMapper:
+    return ByteMapper(pseudo_table())
+
+
+def latin_bytes() -> CharMapper:
+    return ByteMapper(latin_table())

@@ -2,6 +2,9 @@
 
 Splitters that keep what they split on enclose every match in a control character and split there (`isolate`), which
 needs one pass of the JVM's engine with look-around. Null gives null; empty pieces are dropped.
+
+A splitter that only sets such marks also has `marked`, which does so on a text that already holds some: a sequence of these
+runs over the whole text, one expression of generated code after the other, and splits once, instead of a lambda per piece.
 """
 
 from __future__ import annotations
@@ -20,21 +23,46 @@ Split = Callable[[Column], Column]
 CUT = "\x01"
 
 
+def marking(split: Split, marked: Callable[[Column], Column]) -> Split:
+    """split, with its form on marked text: what it cuts is enclosed in CUT, and CUT is an edge to it."""
+
+    def run(c: Column) -> Column:
+        return split(c)
+
+    run.marked = marked
+    return run
+
+
 def sequence(*splits: Split) -> Split:
-    """Flat map of each splitter over the pieces of the one before."""
+    """Flat map of each splitter over the pieces of the one before. Where the first two or more of them can mark, they do, over the
+    whole text; the control character U+0001 of the text itself is dropped then."""
+    lead = next((i for i, s in enumerate(splits) if not hasattr(s, "marked")), len(splits))
 
     def run(c: Column) -> Column:
-        out = F.array(c)
-        for s in splits:
+        if lead > 1:
+            text = reduce(lambda x, s: s.marked(x), splits[:lead], F.replace(c, F.lit(CUT), F.lit("")))
+            out = _full(F.split(text, CUT + "+"))
+        else:
+            out = F.array(c)
+        for s in splits[lead if lead > 1 else 0 :]:
             out = F.flatten(F.transform(out, s))
         return F.when(c.isNotNull(), out)
 
     return run
 
 
+def nested(*splits: Split) -> Split:
+    """The sequence by its definition, piece by piece."""
+
+    def run(c: Column) -> Column:
+        return F.when(c.isNotNull(), reduce(lambda x, s: F.flatten(F.transform(x, s)), splits, F.array(c)))
+
+    return run
+
+
 def stages(*splits: Split) -> list[Split]:
     """The sequence after each of its steps, for a diagnostic view."""
-    return [sequence(*splits[: i + 1]) for i in range(len(splits))]
+    return [nested(*splits[: i + 1]) for i in range(len(splits))]
 
 
 def unsplit(c: Column) -> Column:
@@ -45,9 +73,16 @@ def _full(c: Column) -> Column:
     return F.filter(c, lambda x: x != "")
 
 
-def isolate(pattern: str) -> Split:
-    """Matches and what lies between, in order; the control character U+0001 of the text itself is dropped."""
-    return lambda c: _full(F.split(F.regexp_replace(F.replace(c, F.lit(CUT), F.lit("")), java(f"({pattern})"), f"{CUT}$1{CUT}"), CUT))
+def _mark(pattern: str) -> Callable[[Column], Column]:
+    return lambda c: F.regexp_replace(c, java(f"({pattern})"), f"{CUT}$1{CUT}")
+
+
+def isolate(pattern: str, inside: str | None = None) -> Split:
+    """Matches and what lies between, in order; the control character U+0001 of the text itself is dropped.
+
+    inside: the pattern on marked text, where CUT is an edge. Without one, the splitter can't mark."""
+    split = lambda c: _full(F.split(_mark(pattern)(F.replace(c, F.lit(CUT), F.lit(""))), CUT))
+    return split if inside is None else marking(split, _mark(inside))
 
 
 def whole(c: Column) -> Column:
@@ -66,7 +101,9 @@ BLANK = r"[\s\x1C-\x1F​]"
 
 
 def on_whitespace(destructive: bool = True) -> Split:
-    return on_regex(BLANK + "+", destructive)
+    if not destructive:
+        return isolate(BLANK + "+", BLANK + "+")
+    return marking(on_regex(BLANK + "+"), lambda c: F.regexp_replace(c, java(BLANK + "+"), CUT))
 
 
 def into_space_prefixed(prefix: bool = True) -> Split:
@@ -110,12 +147,16 @@ def isolate_punctuation(hyphens: str = "included", protect_apostrophes: bool = T
     p, q = char_class(punctuation_signs(hyphens)), char_class(punctuation_signs(hyphens).replace("'", ""))
     start, end = (SPACE + "?" if group_spaces == s else "" for s in (Side.START, Side.END))
     if hyphens == "only":
-        return isolate(p + "+")
+        return isolate(p + "+", p + "+")
     if not protect_apostrophes:
-        return isolate(f"{start}{p}+{end}")
-    opening = f"(?:{SPACE}|\\A)'" if group_spaces == Side.START else f"(?:(?<={SPACE})|\\A)'"
-    closing = f"'(?:{SPACE}|\\z)" if group_spaces == Side.END else f"'(?={SPACE}|\\z)"
-    return isolate(f"{start}{p}*{q}+{p}*{end}|{opening}|{closing}")
+        return isolate(f"{start}{p}+{end}", f"{start}{p}+{end}")
+
+    def pattern(first: str, last: str) -> str:
+        opening = f"(?:{SPACE}|{first})'" if group_spaces == Side.START else f"(?:(?<={SPACE})|{first})'"
+        closing = f"'(?:{SPACE}|{last})" if group_spaces == Side.END else f"'(?={SPACE}|{last})"
+        return f"{start}{p}*{q}+{p}*{end}|{opening}|{closing}"
+
+    return isolate(pattern(r"\A", r"\z"), pattern(rf"\A|(?<={CUT})", rf"\z|(?={CUT})"))
 
 
 def group_distinct_punctuation(c: Column) -> Column:
@@ -124,9 +165,10 @@ def group_distinct_punctuation(c: Column) -> Column:
     return F.when(c.rlike(java(rf"\A\s?{p}+\z")), F.regexp_extract_all(c, F.lit(r"(?s)((.)\2*)"), 1)).otherwise(F.array(c))
 
 
-isolate_numbers = isolate(r"(?:\p{N}|[.,](?=\p{N}))+")
-isolate_digits = isolate(r"\p{N}")
-isolate_connecting_hyphens = isolate(rf"(?<!-)(?<={SPACE.replace('[', '[^')})-+(?={SPACE.replace('[', '[^')})(?!-)")
+isolate_numbers = isolate(_numbers := r"(?:\p{N}|[.,](?=\p{N}))+", _numbers)
+isolate_digits = isolate(r"\p{N}", r"\p{N}")
+_beside = SPACE.replace("[", "[^")
+isolate_connecting_hyphens = isolate(rf"(?<!-)(?<={_beside})-+(?={_beside})(?!-)", rf"(?<!-)(?<={_beside})(?<!{CUT})-+(?={_beside})(?!-|{CUT})")
 
 
 def join_connecting_hyphens(c: Column) -> Column:
@@ -140,7 +182,8 @@ def join_connecting_hyphens(c: Column) -> Column:
 
 def group_digits(n: int = 3) -> Split:
     """Digit runs apart from the rest, in groups of at most n from the right."""
-    return lambda c: _full(F.split(F.regexp_replace(F.regexp_replace(F.replace(c, F.lit(CUT), F.lit("")), java(r"(\d+)"), f"{CUT}$1{CUT}"), java(rf"(?<=\d)(?=(?:\d{{{n}}})+(?!\d))"), CUT), CUT))
+    mark = lambda c: F.regexp_replace(_mark(r"\d+")(c), java(rf"(?<=\d)(?=(?:\d{{{n}}})+(?!\d))"), CUT)
+    return marking(lambda c: _full(F.split(mark(F.replace(c, F.lit(CUT), F.lit(""))), CUT)), mark)
 
 
 def polarise_apostrophes(left_on_ties: bool = True) -> Split:
@@ -164,8 +207,8 @@ def polarise_apostrophes(left_on_ties: bool = True) -> Split:
 
 
 def isolate_contractions(nt: bool = True) -> Split:
-    ends = rf"(?={SPACE}|\z|\p{{P}})"
-    return isolate(rf"(?i)(?:'(?:s|re|ve|m|ll|d){'|n' + chr(39) + 't|' + chr(39) + 't' if nt else '|' + chr(39) + 't'}){ends}")
+    pattern = lambda last: rf"(?i)(?:'(?:s|re|ve|m|ll|d){'|n' + chr(39) + 't|' + chr(39) + 't' if nt else '|' + chr(39) + 't'})(?={SPACE}|{last}|\p{{P}})"
+    return isolate(pattern(r"\z"), pattern(rf"\z|{CUT}"))
 
 
 def add_word_boundary(marker: Marker) -> Split:
@@ -177,7 +220,12 @@ def add_word_boundary(marker: Marker) -> Split:
             return F.array(c, mark) if marker.side == Side.END else F.array(mark, c)
         return F.array(marker.concatenate(c, mark))
 
-    return run
+    if marker.detached or marker.side == Side.ISOLATED or not marker.substitute:
+        return run
+    sign = marker.substitute.replace("\\", "\\\\").replace("$", "\\$")
+    if marker.side == Side.END:
+        return marking(run, lambda c: F.regexp_replace(c, rf"(?<=[^{CUT}])(?={CUT}|\z)", sign))
+    return marking(run, lambda c: F.regexp_replace(c, rf"(?:\A|(?<={CUT}))(?=[^{CUT}])", sign))
 
 
 def regroup_at_marks(marker: Marker) -> Split:
@@ -232,7 +280,9 @@ def on_boundary_probabilities(probabilities: Column, threshold: float = 0.5) ->
 
 
 def mapped(m: Callable[[Column], Column]) -> Split:
-    return lambda c: F.array(m(c))
+    """A mapper on every piece. One that works character by character, and leaves CUT alone, says so by `marked`."""
+    split = lambda c: F.array(m(c))
+    return marking(split, m.marked) if hasattr(m, "marked") else split
 
 
 def insert_reverse(c: Column) -> Column:

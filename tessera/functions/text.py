@@ -30,6 +30,13 @@ class Mapper:
         return self.convert(c)
 
 
+class CharMapper(Mapper):
+    """One that maps every character by itself, and U+0001 to itself on marked text."""
+
+    def marked(self, c: Column) -> Column:
+        return self.convert(c)
+
+
 def compose(*maps: Map) -> Map:
     return lambda c: reduce(lambda x, m: m(x), maps, c)
 
@@ -112,7 +119,7 @@ def append_space(front: bool = True) -> Mapper:
 def replace(old: str, new: str) -> Mapper:
     if not old or not new:
         raise ValueError("neither side may be empty")
-    return Mapper(lambda c: F.replace(c, F.lit(old), F.lit(new)), lambda c: F.replace(c, F.lit(new), F.lit(old)))
+    return (CharMapper if len(old) == 1 else Mapper)(lambda c: F.replace(c, F.lit(old), F.lit(new)), lambda c: F.replace(c, F.lit(new), F.lit(old)))
 
 
 class Side(Enum):

@@ -218,9 +218,17 @@ def event_windows(spark, sf_dir):
     return metrics.run_once(metrics.event_windows(metrics.read(spark, f"{sf_dir}/events.parquet")), "start")
 
 
-@query("str06_streamed_mattr")
+@query(
+    "str06_streamed_mattr",
+    f"""with w as (select doc_id, lang, {WORDS} as ws from documents),
+    d as (select lang, ws, coalesce(sum(len(ws)) over (partition by lang order by doc_id rows between unbounded preceding and 1 preceding), 0) as base from w),
+    t as (select lang, unnest(ws) as token, base + unnest(generate_series(0, len(ws) - 1)) as p from d where len(ws) > 0),
+    k as (select lang, token, unnest(generate_series(greatest(0, cast(ceil((p - 1999) / 1000.0) as bigint)), cast(p // 1000 as bigint))) as k from t),
+    c as (select lang, k, count(distinct token) as types, count(*) as c from k group by lang, k)
+    select lang, count(*)::bigint as windows, round(avg(types / 2000.0), 6) as mattr from c where c = 2000 group by lang""",
+)
 def streamed_mattr(spark, sf_dir):
     from tessera.streaming import metrics
 
     docs = metrics.read(spark, f"{sf_dir}/documents.parquet")
-    return metrics.run_once(metrics.streaming_mattr(docs, "lang", 2000, 1000), "lang", mode="update")
+    return metrics.run_mattr(docs, "lang", 2000, 1000).select("lang", "windows", F.round("mattr", 6).alias("mattr"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +26,29 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where lineage is cut: the cluster's spark.checkpoint.dir. Only a session in local mode that names none gets a temporary
+    folder, which goes at its end; elsewhere a machine's own folder would be no use to the others, so that is an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: it has to name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir("file://" + folder)
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def set_checkpoints(spark: SparkSession) -> None:
+    """Let checkpoint() write to the shared folder."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = shared_folder(spark)
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(folder)

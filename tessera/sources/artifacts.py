@@ -9,20 +9,18 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.regexes import SPACE, java
+from tessera.session import set_checkpoints
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Through the cluster's shared spark.checkpoint.dir; a temporary folder only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    """Through files in the cluster's shared spark.checkpoint.dir."""
+    set_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,22 +1,22 @@
 """Metrics over unbounded input with Structured Streaming.
 
 Stateless operators (mappers, splitters, kernels) are ordinary columns on a streaming DataFrame. Totals are streaming
-aggregations; the moving-average type/token ratio keeps the last window's tokens in state. `fan_out` tokenises a batch once
+aggregations; the moving-average type/token ratio carries the tokens of unfinished windows over. `fan_out` tokenises a batch once
 and feeds several metrics, of which one may fail without stopping the others.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.splitters import on_regex
+from tessera.operators.tokens import positions
+from tessera.operators.windows import window_types
+from tessera.session import shared_folder
 
 WS = on_regex(r"[ \n\t\r]+")
 
@@ -55,36 +55,60 @@ def deduplicated(events: DataFrame, key: str = "event_id", late: str = "10 minut
     return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def streaming_mattr(docs: DataFrame, by: str, size: int, stride: int, text: str = "text") -> DataFrame:
-    """(by, windows, total, weight): full windows so far per group, in order of arrival. State is at most one window of tokens."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, windows, total = state.get if state.exists else ([], 0, 0.0)
-        held = list(held)
-        for pdf in batches:
-            for tokens in pdf["tokens"]:
-                held.extend(tokens)
-                at = 0
-                while len(held) - at >= size:
-                    total += len(set(held[at : at + size])) / size
-                    windows += 1
-                    at += stride
-                held = held[at:]
-        state.update((held, windows, total))
-        yield pd.DataFrame({by: [key[0]], "windows": [windows], "mattr": [total / windows if windows else 0.0]})
-
-    rows = docs.select(by, WS(F.col(text)).alias("tokens"))
-    return rows.groupBy(by).applyInPandasWithState(step, f"{by} string, windows long, mattr double", "held array<string>, windows long, total double", "update", GroupStateTimeout.NoTimeout)
-
-
-def run_once(stream: DataFrame, key: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, through the streaming engine; the result table as a DataFrame."""
-    name = f"stream_{key}_{uuid.uuid4().hex[:8]}"
-    folder = checkpoint or stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    folder = f"{folder}/{name}" if folder else tempfile.mkdtemp(prefix="tessera-")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_mattr(docs: DataFrame, by: str, size: int, stride: int, text: str = "text", order: str = "doc_id", folder: str | None = None) -> DataFrame:
+    """(by, windows, mattr) over the full windows of each group's stream: micro-batch after micro-batch, by `order` within each.
+
+    A batch numbers its tokens on from where the group's stream stood, takes the tokens of unfinished windows with it, counts the
+    windows that are full now (many tasks a group), and writes sums, positions and those tokens (less than one window a group) under
+    its epoch's number, so that an epoch that is done again replaces what it wrote."""
+    spark = docs.sparkSession
+    root = f"{folder or shared_folder(spark)}/mattr_{uuid.uuid4().hex}"
+    held_schema = spark.createDataFrame([], f"{by} string, gpos long, token string").schema
+    stood_schema = spark.createDataFrame([], f"{by} string, n long").schema
+
+    def part(kind: str, epoch: int, schema) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{root}/{kind}/epoch={epoch}") if epoch >= 0 else spark.createDataFrame([], schema)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        stood = part("stood", epoch - 1, stood_schema)
+        new = positions(batch.select(F.col(by).cast("string").alias(by), order, text), WS(F.col(text)), order, (by,))
+        new = new.join(stood, by, "left").select(by, (F.col("gpos") + F.coalesce("n", F.lit(0))).alias("gpos"), "token")
+        new = new.unionByName(part("held", epoch - 1, held_schema))
+        new.write.mode("overwrite").parquet(f"{root}/tokens/epoch={epoch}")
+        new = spark.read.schema(held_schema).parquet(f"{root}/tokens/epoch={epoch}")
+        full = window_types(new, size, stride, (by,)).where(F.col("c") == size)
+        full.groupBy(by).agg(F.count("*").alias("windows"), F.sum(F.col("types") / size).alias("total")).write.mode("overwrite").parquet(f"{root}/sums/epoch={epoch}")
+        grown = new.groupBy(by).agg((F.max("gpos") + 1).alias("n"))
+        stood.join(grown.withColumnRenamed("n", "m"), by, "full").select(by, F.coalesce("m", "n").alias("n")).write.mode("overwrite").parquet(f"{root}/stood/epoch={epoch}")
+        # the first window that isn't full starts after the last full one
+        start = F.when(F.col("n") >= size, (F.floor((F.col("n") - size) / stride) + 1) * stride).otherwise(F.lit(0))
+        new.join(grown.select(by, start.alias("start")), by).where(F.col("gpos") >= F.col("start")).select(by, "gpos", "token").write.mode("overwrite").parquet(f"{root}/held/epoch={epoch}")
+
+    docs.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    sums = spark.read.schema(f"{by} string, windows long, total double").parquet(f"{root}/sums")
+    return sums.groupBy(by).agg(F.sum("windows").alias("windows"), (F.sum("total") / F.sum("windows")).alias("mattr"))
+
+
+def run_once(stream: DataFrame, keys: str | list[str], mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
+    """Everything that is there now, through the streaming engine. Every epoch is written to Parquet by the executors; the result
+    holds what the last epoch wrote of each row (in complete mode, the last epoch)."""
+    spark, keys = stream.sparkSession, [keys] if isinstance(keys, str) else keys
+    folder = f"{checkpoint or shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # an epoch that is done again after a failure replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    schema = stream.schema.add("epoch", "long")
+    rows = spark.read.schema(schema).parquet(f"{folder}/rows")
+    if mode == "append":
+        return rows.drop("epoch")
+    if mode == "complete":
+        last = rows.agg(F.max("epoch")).first()[0]
+        return rows.where(F.col("epoch") == F.lit(last)).drop("epoch")
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "epoch").alias("__r"))
+    return latest.select(*keys, "__r.*")
 
 
 def fan_out(metrics: dict[str, Callable[[DataFrame], DataFrame]], write: Callable[[str, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
