@@ -154,7 +154,8 @@ def isolate_punctuation(hyphens: str = "included", protect_apostrophes: bool = T
     def pattern(first: str, last: str) -> str:
         opening = f"(?:{SPACE}|{first})'" if group_spaces == Side.START else f"(?:(?<={SPACE})|{first})'"
         closing = f"'(?:{SPACE}|{last})" if group_spaces == Side.END else f"'(?={SPACE}|{last})"
-        return f"{start}{p}*{q}+{p}*{end}|{opening}|{closing}"
+        guard = f"(?=[{SPACE[1:-1]}]|{p})" if start else f"(?={p})"  # most characters can't begin a match: one look tells
+        return f"{guard}(?:{start}{p}*{q}+{p}*{end}|{opening}|{closing})"
 
     return isolate(pattern(r"\A", r"\z"), pattern(rf"\A|(?<={CUT})", rf"\z|(?={CUT})"))
 
@@ -223,9 +224,8 @@ def add_word_boundary(marker: Marker) -> Split:
     if marker.detached or marker.side == Side.ISOLATED or not marker.substitute:
         return run
     sign = marker.substitute.replace("\\", "\\\\").replace("$", "\\$")
-    if marker.side == Side.END:
-        return marking(run, lambda c: F.regexp_replace(c, rf"(?<=[^{CUT}])(?={CUT}|\z)", sign))
-    return marking(run, lambda c: F.regexp_replace(c, rf"(?:\A|(?<={CUT}))(?=[^{CUT}])", sign))
+    new = f"$0{sign}" if marker.side == Side.END else f"{sign}$0"
+    return marking(run, lambda c: F.regexp_replace(c, f"[^{CUT}]+", new))
 
 
 def regroup_at_marks(marker: Marker) -> Split:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from enum import Enum
-from functools import reduce
+from functools import cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -188,14 +188,30 @@ def turkish_capitals(c: Column) -> Column:
     return F.translate(c, "çıöüşğ", "CIOUSG")
 
 
+@cache
+def _stable(form: str) -> str:
+    """A class of characters that the form leaves alone, each by itself and beside any other of them: of Latin, Greek and Cyrillic
+    letters and common punctuation, those that are no combining marks and stand for themselves."""
+    import unicodedata
+
+    spans, codes = [], [*range(0x250), *range(0x370, 0x530), *range(0x2010, 0x2028), 0x20AC]
+    for c in codes:
+        if not unicodedata.combining(chr(c)) and unicodedata.normalize(form, chr(c)) == chr(c):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans)
+
+
 def normalise(form: str = "NFKC") -> Map:
-    """Unicode normalisation; rows of ASCII alone never leave the JVM."""
+    """Unicode normalisation; rows of characters that it can't change never leave the JVM."""
     def run(texts: pa.Array) -> pa.Array:
         import unicodedata
 
         return pa.array([None if t is None else unicodedata.normalize(form, t) for t in texts.to_pylist()], pa.string())
 
-    return lambda c: F.when(c.rlike(r"\A\p{ASCII}*\z"), c).otherwise(F.arrow_udf(run, "string")(c))
+    return lambda c: F.when(c.rlike(rf"\A(?:[\x00-\x7f]++|[{_stable(form)}]++)*+\z"), c).otherwise(F.arrow_udf(run, "string")(c))
 
 
 def truncate_and_normalise(n: int) -> Map:

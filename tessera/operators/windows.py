@@ -10,14 +10,16 @@ from pyspark.sql.window import Window
 def window_types(tokens: DataFrame, size: int, stride: int, by: tuple[str, ...], pos: str = "gpos", token: str = "token", group: int = 64) -> DataFrame:
     """(by, k, types, c): distinct and all tokens of window k = [k * stride, k * stride + size).
 
-    Tokens are shuffled once, by groups of neighbouring windows (twice where windows of two groups overlap); a window's types are
-    counted within its task. A group is bounded by its windows' tokens, so a stream with a third of all tokens is many groups."""
+    Tokens are shuffled once, by groups of neighbouring windows (twice where windows of two groups overlap). There a token is new to
+    the windows that begin after its last occurrence, so what is summed are flags, not strings. A group is bounded by its windows'
+    tokens: a stream with a third of all tokens is many groups."""
     low, high = F.greatest(F.lit(0), F.ceil((F.col("__p") - (size - 1)) / stride)), F.floor(F.col("__p") / stride)
     rows = tokens.select(*by, F.col(pos).alias("__p"), F.col(token).alias("__t"))
     rows = rows.withColumn("__g", F.explode(F.sequence(F.floor(low / group), F.floor(high / group)))).repartition(*by, "__g")
     first, last = F.greatest(low, F.col("__g") * group), F.least(high, F.col("__g") * group + (group - 1))
-    rows = rows.select(*by, "__g", "__t", F.explode(F.sequence(first, last)).alias("k"))
-    types = rows.groupBy(*by, "__g", "k", "__t").agg(F.count("*").alias("c")).groupBy(*by, "__g", "k").agg(F.count("*").alias("types"), F.sum("c").alias("c"))
+    before = F.coalesce(F.lag("__p").over(Window.partitionBy(*by, "__g", "__t").orderBy("__p")), F.lit(-1))
+    rows = rows.withColumn("__before", before).select(*by, "__g", "__before", F.explode(F.sequence(first, last)).alias("k"))
+    types = rows.groupBy(*by, "__g", "k").agg(F.count(F.when(F.col("__before") < F.col("k") * stride, 1)).alias("types"), F.count("*").alias("c"))
     return types.drop("__g")
 
 

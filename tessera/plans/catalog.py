@@ -14,6 +14,7 @@ from tessera.operators import distribution as D
 from tessera.operators import tokens as TK
 from tessera.operators import windows as W
 from tessera.functions import splitters as S
+from tessera.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):  # Python workers import this package by name
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if {"text", "html"} & set(df.columns) else df
 
 
 #: ASCII white space, which both engines read alike.
@@ -85,11 +87,9 @@ query("win01_mattr_by_lang", _MATTR)(_mattr)
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: type/token ratio, Rényi entropy and efficiency (alpha 2.5), moving-average type/token ratio."""
-    counts = D.unigram(words(spark, sf_dir, "lang"), ("lang",))
-    ratio = D.ttr(counts, ("lang",))
-    entropy = D.renyi(counts, 2.5, ("lang",)).select("lang", "entropy")
-    middle = D.renyi_efficiency(counts, 2.5, ("lang",)).select("lang", F.col("middle").alias("efficiency"))
-    out = ratio.join(entropy, "lang").join(middle, "lang").join(_mattr(spark, sf_dir).select("lang", "mattr"), "lang")
+    h = D.renyi(D.unigram(words(spark, sf_dir, "lang"), ("lang",)), 2.5, ("lang",))
+    h = h.withColumn("ttr", F.col("types") / F.col("tokens")).withColumn("efficiency", D.efficiency(F.col("entropy"), F.col("types"), F.col("tokens"))[1])
+    out = h.join(_mattr(spark, sf_dir).select("lang", "mattr"), "lang")
     rounded = [F.round(c, 6).alias(c) for c in ("ttr", "entropy", "efficiency")]
     return out.select("lang", F.col("types").cast("long").alias("types"), F.col("tokens").cast("long").alias("tokens"), *rounded, "mattr")
 

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -52,3 +52,11 @@ def set_checkpoints(spark: SparkSession) -> None:
         folder = shared_folder(spark)
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that its files would give to fewer tasks than there are cores goes to all of them; any other stays as it is.
+
+    Texts cost much more to work on than to move; files that give every core a task aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
