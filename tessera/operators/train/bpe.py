@@ -1,8 +1,9 @@
 """Byte-pair training over distinct pretokens, with the objectives and prunings of its relatives.
 
 Counting is distributed. The loop itself is sequential by nature (each merge changes all later counts): up to `driver_words`
-distinct words it runs on the driver with incremental counts; beyond, every merge is a distributed count over the words table,
-exact but one job a merge.
+distinct words it runs on the driver with incremental counts; beyond, words stay in the cluster, and a round is one job that
+rewrites them and sums pairs and tokens. Both ways take the same steps (`_Steps`) from the same sums, so they give the same merges,
+for every objective. Plain merges that can't touch each other share a round.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import log, log2
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,16 @@ def word_counts(df: DataFrame, word: str = "word", count: str = "count") -> Data
     return df.where(F.col(word).isNotNull() & (F.col(word) != "")).groupBy(F.col(word).alias("word")).agg(F.sum(count).cast("long").alias("count"))
 
 
+def pairs_of(tokens: list[str]) -> list[tuple[str, str]]:
+    """Neighbours that can merge: of three equal tokens in a row, one pair can."""
+    out, overlap = [], False
+    for k, p in enumerate(zip(tokens, tokens[1:])):
+        overlap = not overlap and k > 0 and tokens[k - 1] == p[0] == p[1]
+        if not overlap:
+            out.append(p)
+    return out
+
+
 class Corpus:
     """Words as token lists, with pair and token counts that follow every change."""
 
@@ -47,18 +59,18 @@ class Corpus:
         self.pairs: Counter = Counter()
         self.tokens: Counter = Counter()
         self.where: dict[tuple[str, str], set[int]] = defaultdict(set)
+        self.total = self.size = 0
         for i in range(len(words)):
             self._count(i, 1)
 
     def _count(self, i: int, sign: int) -> None:
         tokens, n = self.words[i]
         for t in tokens:
-            self.tokens[t] += sign * n
-        overlap = False
-        for k, p in enumerate(zip(tokens, tokens[1:])):
-            overlap = not overlap and k > 0 and tokens[k - 1] == p[0] == p[1]
-            if overlap:  # of three equal tokens in a row, one pair can merge
-                continue
+            was = self.tokens[t]
+            self.tokens[t] = now = was + sign * n
+            self.size += (now > 0) - (was > 0)
+        self.total += sign * n * len(tokens)
+        for p in pairs_of(tokens):
             self.pairs[p] += sign * n
             if sign > 0:
                 self.where[p].add(i)
@@ -78,36 +90,31 @@ class Corpus:
         return changed
 
 
-def frequency(c: Corpus, pair: tuple[str, str]) -> float:
-    return c.pairs[pair]
+def frequency(n: int, a: int, b: int, both: int, same: bool, total: int, size: int) -> float:
+    return n
 
 
-def pmi(c: Corpus, pair: tuple[str, str]) -> float:
+def pmi(n: int, a: int, b: int, both: int, same: bool, total: int, size: int) -> float:
     """count(xy) / (count(x) count(y)), as in WordPiece."""
-    return c.pairs[pair] / (c.tokens[pair[0]] * c.tokens[pair[1]])
+    return n / (a * b)
 
 
-def smoothed_gain(c: Corpus, pair: tuple[str, str]) -> float:
+def smoothed_gain(n: int, a: int, b: int, both: int, same: bool, total: int, size: int) -> float:
     """Laplace-smoothed count times pointwise information."""
-    n, m = c.pairs[pair], 2
-    total = sum(c.tokens.values()) - (m - 1) * n
-    size = sum(1 for v in c.tokens.values() if v > 0) + 1
-    own = Counter(pair)
-    return n * (log(n + 1) + (m - 1) * log(total + size) - sum(log(max(c.tokens[t] + 1 - own[t] * n, 1e-9)) for t in pair))
+    left = [a - 2 * n] * 2 if same else [a - n, b - n]
+    return n * (log(n + 1) + log(total - n + size + 1) - sum(log(max(x + 1, 1e-9)) for x in left))
 
 
-def description_gain(c: Corpus, pair: tuple[str, str]) -> float:
+def description_gain(n: int, a: int, b: int, both: int, same: bool, total: int, size: int) -> float:
     """Change of description length: the corpus with the pair as one token, and the pair as a new entry."""
-    n, length = c.pairs[pair], 2
     xlog = lambda x: x * log2(x) if x > 0 else 0.0
-    total = sum(c.tokens.values())
-    d = (n + 1) + (length - length * n)
-    gain = xlog(n) + xlog(c.tokens["".join(pair)] + 1) - (xlog(total + d) - xlog(total))
-    for t, m in Counter(pair).items():
-        gain += xlog(c.tokens[t] + m - m * n) - xlog(c.tokens[t])
+    gain = xlog(n) + xlog(both + 1) - (xlog(total + (n + 1) + (2 - 2 * n)) - xlog(total))
+    for t, m in [(a, 2)] if same else [(a, 1), (b, 1)]:
+        gain += xlog(t + m - m * n) - xlog(t)
     return gain
 
 
+#: score(pair's count, its tokens' counts, the joined type's, whether the tokens are equal, all tokens, types that occur)
 OBJECTIVES = {"frequency": frequency, "pmi": pmi, "smoothed": smoothed_gain, "description": description_gain}
 LOCAL = {"frequency"}
 
@@ -124,100 +131,229 @@ def merge_pair(tokens: list[str], pair: tuple[str, str]) -> list[str]:
     return out
 
 
-def fit_words(
-    words: list[tuple[str, int]], size: int, objective: str = "frequency", atomise=default_atoms, max_length: int = 64, required: tuple[str, ...] = (),
-    picky: float | None = None, scaffold: bool = False, stop_ratio: float | None = None, least: int = 1,
-) -> Result:
-    """size: types wanted, alphabet included. Ties: larger score, then the smaller pair.
+class _Local:
+    """The sums of words on the driver."""
 
-    picky: after a merge, a part is removed if the merge took at least this share of it. scaffold: a part left rarer than the next
-    best pair is disabled in the result and doesn't count. stop_ratio: end when the best score's moving average changes by less
-    than this share of its first change."""
-    score = OBJECTIVES[objective]
-    corpus = Corpus([(atomise(w), n) for w, n in words])
-    alphabet = sorted(set(required) | set(corpus.tokens))
-    result = Result(alphabet, [])
-    heap: list = []
-    fresh = lambda ps: [heapq.heappush(heap, (-score(corpus, p), p)) for p in ps if corpus.pairs[p] >= least]
-    if objective in LOCAL:
-        fresh(list(corpus.pairs))
-    history, first = [], None
+    def __init__(self, words: list[tuple[list[str], int]], objective: str, least: int, max_length: int):
+        self.corpus, self.objective, self.least, self.max_length = Corpus(words), objective, least, max_length
+        self.heap: list = []
+        if objective in LOCAL:
+            self._push(list(self.corpus.pairs))
+
+    def _push(self, pairs) -> None:
+        for p in pairs:
+            if self.corpus.pairs[p] >= self.least and len(p[0]) + len(p[1]) <= self.max_length:
+                heapq.heappush(self.heap, (-self.corpus.pairs[p], p))
+
+    def alphabet(self) -> list[str]:
+        return list(self.corpus.tokens)
+
+    def best(self) -> tuple[float, tuple[str, str]] | None:
+        c = self.corpus
+        if self.objective in LOCAL:
+            while self.heap:
+                s, p = self.heap[0]
+                if c.pairs[p] >= self.least and -s == c.pairs[p]:
+                    return -s, p
+                heapq.heappop(self.heap)
+            return None
+        f, tokens = OBJECTIVES[self.objective], c.tokens
+        ok = [(-f(n, tokens[p[0]], tokens[p[1]], tokens["".join(p)], p[0] == p[1], c.total, c.size), p) for p, n in c.pairs.items() if n >= self.least and n > 0 and len(p[0]) + len(p[1]) <= self.max_length]
+        return (lambda x: (-x[0], x[1]))(min(ok)) if ok else None
+
+    def count(self, pair: tuple[str, str]) -> int:
+        return self.corpus.pairs[pair]
+
+    def token(self, t: str) -> int:
+        return self.corpus.tokens[t]
+
+    def merge(self, pair: tuple[str, str]) -> None:
+        self._changed(set(self.corpus.where[pair]), lambda t: merge_pair(t, pair))
+
+    def split(self, t: str, parts: tuple[str, ...]) -> None:
+        at = {i for p, ws in self.corpus.where.items() if t in p for i in ws} | {i for i, (x, _) in enumerate(self.corpus.words) if t in x}
+        self._changed(at, lambda x: [y for z in x for y in (parts if z == t else (z,))])
+
+    def _changed(self, at: set[int], change: Callable[[list[str]], list[str]]) -> None:
+        changed = self.corpus.rewrite(at, change)
+        if self.objective in LOCAL:
+            self._push(changed)
+
+
+def _rewritten(word: str, atomise, steps: list[tuple[bool, tuple[str, ...]]]) -> list[str]:
+    tokens = atomise(word)
+    for is_merge, parts in steps:
+        if len(tokens) < 2 and is_merge:
+            continue
+        if is_merge:
+            if parts[0] in tokens:
+                tokens = merge_pair(tokens, parts)
+        else:
+            t = "".join(parts)
+            tokens = [y for z in tokens for y in (parts if z == t else (z,))] if t in tokens else tokens
+    return tokens
+
+
+class _Cluster:
+    """The sums of words in the cluster. A round is a job: words as the last written table has them, with the steps since then; pairs
+    and tokens are summed in each task, then by a shuffle. The driver gets the best pairs and the counts that they need.
+
+    Every 64 steps the rewritten words become a table in the shared folder."""
+
+    AHEAD, EVERY = 256, 64
+
+    def __init__(self, counts: DataFrame, objective: str, least: int, max_length: int, atomise):
+        from tessera.sources.artifacts import checkpoint
+
+        self.objective, self.least, self.max_length = objective, least, max_length
+        self.words = checkpoint(counts.select(column(atomise)(F.col("word")).alias("t"), "count"))
+        self.steps: list = []
+        self.sums = self.queue = None
+        self.dirty: set[str] = set()
+
+    def _tokens(self) -> DataFrame:
+        if not self.steps:
+            return self.words
+        steps = list(self.steps)
+        return self.words.select(column(lambda w: _rewritten(w, lambda x: x.split("\x01"), steps))(F.array_join("t", "\x01")).alias("t"), "count")
+
+    def _sum(self) -> None:
+        from tessera.sources.artifacts import checkpoint
+
+        if len(self.steps) >= self.EVERY:
+            self.words, self.steps = checkpoint(self._tokens()), []
+
+        def run(batches):
+            pairs, tokens = Counter(), Counter()
+            for batch in batches:
+                for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for p in pairs_of(t):
+                        pairs[p] += n
+                    for x in t:
+                        tokens[x] += n
+            a, b, n = [p[0] for p in pairs] + list(tokens), [p[1] for p in pairs] + [None] * len(tokens), [*pairs.values(), *tokens.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+        self.sums = checkpoint(self._tokens().mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+        pairs, tokens = self.sums.where("b is not null"), self.sums.where("b is null").select(F.col("a").alias("x"), F.col("n").alias("c"))
+        pairs = pairs.where((F.col("n") >= self.least) & (F.length("a") + F.length("b") <= self.max_length))
+        if self.objective in LOCAL:
+            scored = pairs.withColumn("s", F.col("n").cast("double"))
+        else:
+            total, size = self.sums.where("b is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+            f = OBJECTIVES[self.objective]
+
+            @F.arrow_udf("double")
+            def score(n: pa.Array, x: pa.Array, y: pa.Array, both: pa.Array, same: pa.Array) -> pa.Array:
+                return pa.array([f(*row, total, size) for row in zip(*(c.to_pylist() for c in (n, x, y, both, same)))], pa.float64())
+
+            named = lambda on, out: tokens.select(F.col("x").alias(on), F.col("c").alias(out))
+            joined = pairs.withColumn("ab", F.concat("a", "b")).join(named("a", "ca"), "a").join(named("b", "cb"), "b").join(named("ab", "cab"), "ab", "left")
+            scored = joined.withColumn("s", score("n", "ca", "cb", F.coalesce("cab", F.lit(0)), F.col("a") == F.col("b")))
+        self.queue = [(r["s"], (r["a"], r["b"]), r["n"]) for r in scored.orderBy(F.desc("s"), "a", "b").select("s", "a", "b", "n").limit(self.AHEAD).collect()]
+        self.cut = len(self.queue) == self.AHEAD
+        self.dirty = set()
+        self.known: dict[str, int] = {}
+
+    def alphabet(self) -> list[str]:
+        self._sum()
+        return [r[0] for r in self.sums.where("b is null").select("a").collect()]
+
+    def best(self) -> tuple[float, tuple[str, str]] | None:
+        """The first pair of the queue, if the merges since its count can't have changed what is best: no pair of at least its count
+        shares a token with them (which also bounds every pair that they made)."""
+        if self.queue is None:
+            self._sum()
+        elif self.dirty:
+            s = self.queue[0][0] if self.queue else None
+            tied = [q for q in self.queue if q[0] == s]
+            if self.objective not in LOCAL or not self.queue or any(self.dirty & set(p) for _, p, _ in tied) or (self.cut and len(tied) == len(self.queue)):
+                self._sum()
+        return self.queue[0][:2] if self.queue else None
+
+    def count(self, pair: tuple[str, str]) -> int:
+        return next(n for _, p, n in self.queue if p == pair)
+
+    def token(self, t: str) -> int:
+        if self.queue is None or self.dirty:
+            self._sum()
+        if t not in self.known:
+            row = self.sums.where(F.col("b").isNull() & (F.col("a") == t)).first()
+            self.known[t] = row["n"] if row else 0
+        return self.known[t]
+
+    def merge(self, pair: tuple[str, str]) -> None:
+        self.steps.append((True, pair))
+        self.dirty |= {*pair, "".join(pair)}
+        if pair[0] == pair[1]:  # what it makes of itself isn't bounded by another pair
+            self.queue = None
+        else:
+            self.queue = [q for q in self.queue if q[1] != pair]
+
+    def split(self, t: str, parts: tuple[str, ...]) -> None:
+        self.steps.append((False, parts))
+        self.queue = None
 
-    def best() -> tuple[str, str] | None:
-        if objective not in LOCAL:
-            ok = [(-score(corpus, p), p) for p, n in corpus.pairs.items() if n >= least and len(p[0]) + len(p[1]) <= max_length]
-            return min(ok)[1] if ok else None
-        while heap:
-            s, p = heap[0]
-            if corpus.pairs[p] < least or -s != score(corpus, p) or len(p[0]) + len(p[1]) > max_length:
-                heapq.heappop(heap)
-                continue
-            return p
-        return None
 
+def _steps(
+    sums: _Local | _Cluster, size: int, required: tuple[str, ...], picky: float | None, scaffold: bool, stop_ratio: float | None,
+) -> Result:
+    alphabet = sorted(set(required) | set(sums.alphabet()))
+    result, letters = Result(alphabet, []), set(alphabet)
+    history, first = [], None
     while len(result.types()) < size if picky or scaffold else len(alphabet) + len(result.merges) < size:
-        pair = best()
-        if pair is None:
+        found = sums.best()
+        if found is None:
             break
-        n = corpus.pairs[pair]
-        before = {t: corpus.tokens[t] for t in pair}
+        score, pair = found
         if stop_ratio is not None:
-            history.append(score(corpus, pair))
+            history.append(score)
             if len(history) > 200:
                 delta = abs(sum(history[-100:]) - sum(history[-200:-100])) / 100
                 first = first or delta or 1.0
                 if delta < stop_ratio * first:
                     break
+        whole = []
+        if picky is not None:
+            n = sums.count(pair)
+            whole = [t for t in dict.fromkeys(pair) if len(t) > 1 and t not in letters and (c := sums.token(t)) and n / c >= picky]
         result.merges.append(pair)
         result.events.append((True, pair))
         result.removed.discard("".join(pair))
-        changed = corpus.rewrite(set(corpus.where[pair]), lambda t: merge_pair(t, pair))
-        if picky is not None:
-            for t in dict.fromkeys(pair):
-                if len(t) > 1 and t not in alphabet and before[t] and n / before[t] >= picky:
-                    parts = next(m for m in reversed(result.merges) if "".join(m) == t)
-                    result.events.append((False, parts))
-                    result.removed.add(t)
-                    at = {i for p, ws in corpus.where.items() if t in p for i in ws} | {i for i, (x, _) in enumerate(corpus.words) if t in x}
-                    changed |= corpus.rewrite(at, lambda x: [y for z in x for y in (parts if z == t else (z,))])
-        if objective in LOCAL:
-            fresh(changed)
-        if scaffold and (nxt := best()):
-            for t in dict.fromkeys(pair):
-                if len(t) > 1 and corpus.tokens[t] < corpus.pairs[nxt]:
-                    result.removed.add(t)
+        sums.merge(pair)
+        for t in whole:
+            parts = next(m for m in reversed(result.merges) if "".join(m) == t)
+            result.events.append((False, parts))
+            result.removed.add(t)
+            sums.split(t, parts)
+        if scaffold and (nxt := sums.best()):
+            n = sums.count(nxt[1])
+            result.removed.update(t for t in dict.fromkeys(pair) if len(t) > 1 and sums.token(t) < n)
     return result
 
 
-def _fit_distributed(counts: DataFrame, size: int, atomise, max_length: int) -> Result:
-    """One count and one rewrite a merge, over all words; a checkpoint every 16 merges."""
-    from tessera.sources.artifacts import checkpoint
+def fit_words(
+    words: list[tuple[str, int]], size: int, objective: str = "frequency", atomise=default_atoms, max_length: int = 64, required: tuple[str, ...] = (),
+    picky: float | None = None, scaffold: bool = False, stop_ratio: float | None = None, least: int = 1,
+) -> Result:
+    """size: types wanted, alphabet included. Ties: larger score, then the smaller pair.
 
-    words = counts.select(column(atomise)(F.col("word")).alias("t"), "count")
-    alphabet = sorted(r[0] for r in words.select(F.explode("t").alias("a")).distinct().collect())
-    result = Result(alphabet, [])
-    while len(alphabet) + len(result.merges) < size:
-        pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.get("t", i - 1).alias("a"), F.get("t", i).alias("b")))
-        top = words.where(F.size("t") > 1).select(F.explode(pairs).alias("p"), "count").groupBy("p.a", "p.b").agg(F.sum("count").alias("n"))
-        row = top.where(F.length("a") + F.length("b") <= max_length).orderBy(F.desc("n"), "a", "b").first()
-        if row is None:
-            break
-        pair = (row["a"], row["b"])
-        result.merges.append(pair)
-        words = words.withColumn("t", column(lambda w, p=pair: merge_pair(w.split("\x01"), p))(F.array_join("t", "\x01")))
-        if len(result.merges) % 16 == 0:
-            words = checkpoint(words)
-    return result
+    picky: after a merge, a part is removed if the merge took at least this share of it. scaffold: a part left rarer than the next
+    best pair is disabled in the result and doesn't count. stop_ratio: end when the best score's moving average changes by less
+    than this share of its first change."""
+    return _steps(_Local([(atomise(w), n) for w, n in words], objective, least, max_length), size, required, picky, scaffold, stop_ratio)
 
 
-def fit(counts: DataFrame, size: int, driver_words: int = DRIVER_WORDS, atomise=default_atoms, max_length: int = 64, **more) -> Result:
-    """counts (word, count) → merges. The number of distinct words is checked before anything is collected."""
-    if counts.count() > driver_words:
-        if more:
-            raise ValueError(f"only plain frequency merges are trained over more than {driver_words} distinct words")
-        return _fit_distributed(counts, size, atomise, max_length)
-    words = sorted((r["word"], int(r["count"])) for r in counts.collect())
-    return fit_words(words, size, atomise=atomise, max_length=max_length, **more)
+def fit(
+    counts: DataFrame, size: int, driver_words: int = DRIVER_WORDS, atomise=default_atoms, max_length: int = 64, objective: str = "frequency", required: tuple[str, ...] = (),
+    picky: float | None = None, scaffold: bool = False, stop_ratio: float | None = None, least: int = 1,
+) -> Result:
+    """counts (word, count) → merges, as fit_words. The number of distinct words is checked before anything is collected."""
+    few = counts.limit(driver_words + 1).count() <= driver_words
+    if few:
+        words = sorted((r["word"], int(r["count"])) for r in counts.select("word", "count").collect())
+        return fit_words(words, size, objective, atomise, max_length, required, picky, scaffold, stop_ratio, least)
+    return _steps(_Cluster(counts, objective, least, max_length, atomise), size, required, picky, scaffold, stop_ratio)
 
 
 def merges_of_types(types: list[str], atomise=default_atoms) -> list[tuple[str, ...]]:

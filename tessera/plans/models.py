@@ -139,9 +139,15 @@ def count_words(spark, sf_dir):
     return other.count_words(words(spark, sf_dir), "token", least=3)
 
 
+def document_counts(spark, sf_dir) -> DataFrame:
+    return other.count_words(words(spark, sf_dir), "token")
+
+
 def trained(**more):
+    """Merges of all of documents' words."""
+
     def run(spark, sf_dir):
-        r = train_bpe.fit(benchmark_counts(spark, sf_dir), 300, **more)
+        r = train_bpe.fit(document_counts(spark, sf_dir), 300, **more)
         return spark.createDataFrame([(i, "".join(m), len(m)) for i, m in enumerate(r.merges)], "priority long, type string, parts long")
 
     return run
@@ -163,7 +169,7 @@ def trimmed(spark, sf_dir):
 
 @query("trn13_unigram_vocabulary")
 def unigram_vocabulary(spark, sf_dir):
-    model = unigram.fit(benchmark_counts(spark, sf_dir), 500, 2000, 8)
+    model = unigram.fit(document_counts(spark, sf_dir), 500, 2000, 8)
     return spark.createDataFrame(sorted((t, round(p, 6)) for t, p in model.items()), "type string, logp double")
 
 

@@ -123,9 +123,20 @@ def test_bpe_trainer_against_recounting():
         assert train.fit_words(many, 30, **more).merges
 
 
-def test_bpe_trainer_distributed(spark):
-    counts = spark.createDataFrame(WORDS, "word string, count long")
-    assert train.fit(counts, 12, driver_words=0).merges == [m for m in train.fit_words(WORDS, 12).merges]
+@pytest.mark.parametrize("more", [{}, {"objective": "pmi", "least": 2}, {"objective": "smoothed"}, {"objective": "description"}, {"picky": 0.8}, {"scaffold": True}])
+def test_bpe_trainer_gives_the_same_merges_in_the_cluster(spark, monkeypatch, more):
+    monkeypatch.setattr(train._Cluster, "EVERY", 4)
+    rng = np.random.default_rng(4)
+    many = dict(WORDS) | {"".join(rng.choice(list("abcd"), rng.integers(1, 9))): int(rng.integers(1, 9)) for _ in range(60)} | {"aaaa": 10, "bc": 25}
+    counts = spark.createDataFrame(list(many.items()), "word string, count long")
+    local, cluster = (train.fit(counts, 20, driver_words=n, **more) for n in (10**6, 0))
+    assert local == cluster and len(local.merges) > 5
+
+
+def test_bpe_trainer_skips_overlaps_in_the_cluster(spark):
+    counts = spark.createDataFrame([("aaaa", 10), ("bc", 25)], "word string, count long")
+    for n in (0, 10):
+        assert train.fit(counts, 5, driver_words=n).merges == [("b", "c"), ("a", "a")]
 
 
 def test_merges_of_types():
