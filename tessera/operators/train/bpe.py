@@ -43,8 +43,11 @@ def word_counts(df: DataFrame, word: str = "word", count: str = "count") -> Data
 
 def pairs_of(tokens: list[str]) -> list[tuple[str, str]]:
     """Neighbours that can merge: of three equal tokens in a row, one pair can."""
+    pairs = list(zip(tokens, tokens[1:]))
+    if len(set(tokens)) == len(tokens):
+        return pairs
     out, overlap = [], False
-    for k, p in enumerate(zip(tokens, tokens[1:])):
+    for k, p in enumerate(pairs):
         overlap = not overlap and k > 0 and tokens[k - 1] == p[0] == p[1]
         if not overlap:
             out.append(p)
@@ -56,37 +59,56 @@ class Corpus:
 
     def __init__(self, words: list[tuple[list[str], int]]):
         self.words = words
-        self.pairs: Counter = Counter()
-        self.tokens: Counter = Counter()
+        self.pairs: defaultdict[tuple[str, str], int] = defaultdict(int)
+        self.tokens: defaultdict[str, int] = defaultdict(int)
         self.where: dict[tuple[str, str], set[int]] = defaultdict(set)
         self.total = self.size = 0
-        for i in range(len(words)):
-            self._count(i, 1)
-
-    def _count(self, i: int, sign: int) -> None:
-        tokens, n = self.words[i]
-        for t in tokens:
-            was = self.tokens[t]
-            self.tokens[t] = now = was + sign * n
-            self.size += (now > 0) - (was > 0)
-        self.total += sign * n * len(tokens)
-        for p in pairs_of(tokens):
-            self.pairs[p] += sign * n
-            if sign > 0:
+        for i, (tokens, n) in enumerate(words):
+            for t in tokens:
+                self.tokens[t] += n
+            for p in pairs_of(tokens):
+                self.pairs[p] += n
                 self.where[p].add(i)
+        self.total, self.size = sum(self.tokens.values()), len(self.tokens)
+
+    def _token(self, t: str, by: int) -> None:
+        was = self.tokens[t]
+        self.tokens[t] = was + by
+        self.size += (was + by > 0) - (was > 0)
+        self.total += by
 
     def rewrite(self, touched: set[int], change: Callable[[list[str]], list[str]]) -> set[tuple[str, str]]:
+        """The pairs whose counts moved. What a word keeps at its ends isn't counted anew."""
         changed: set[tuple[str, str]] = set()
+        moved: defaultdict[str, int] = defaultdict(int)
+        words, pairs, where = self.words, self.pairs, self.where
         for i in touched:
-            old, n = self.words[i]
+            old, n = words[i]
             new = change(old)
-            if new == old:
+            if len(new) == len(old):
                 continue
-            changed.update(zip(old, old[1:]))
-            self._count(i, -1)
-            self.words[i] = (new, n)
-            self._count(i, 1)
-            changed.update(zip(new, new[1:]))
+            words[i] = (new, n)
+            p, q = pairs_of(old), pairs_of(new)
+            a, most = 0, min(len(p), len(q))
+            while a < most and p[a] == q[a]:
+                a += 1
+            b = 0
+            while b < most - a and p[-1 - b] == q[-1 - b]:
+                b += 1
+            for x in p[a : len(p) - b]:
+                pairs[x] -= n
+                changed.add(x)
+            for x in q[a : len(q) - b]:
+                pairs[x] += n
+                where[x].add(i)
+                changed.add(x)
+            for t in old:
+                moved[t] -= n
+            for t in new:
+                moved[t] += n
+        for t, by in moved.items():
+            if by:
+                self._token(t, by)
         return changed
 
 

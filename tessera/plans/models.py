@@ -143,22 +143,25 @@ def document_counts(spark, sf_dir) -> DataFrame:
     return other.count_words(words(spark, sf_dir), "token")
 
 
-def trained(**more):
-    """Merges of all of documents' words."""
-
+def trained(counts=benchmark_counts, **more):
     def run(spark, sf_dir):
-        r = train_bpe.fit(document_counts(spark, sf_dir), 300, **more)
+        r = train_bpe.fit(counts(spark, sf_dir), 300, **more)
         return spark.createDataFrame([(i, "".join(m), len(m)) for i, m in enumerate(r.merges)], "priority long, type string, parts long")
 
     return run
 
 
-query("trn02_bpe_merges")(trained())
-query("trn06_picky_bpe")(trained(picky=0.9))
-query("trn07_scaffold_bpe")(trained(scaffold=True))
-query("trn09_pmi_bpe")(trained(objective="pmi", least=3))
-query("trn10_smoothed_bpe")(trained(objective="smoothed", least=3, stop_ratio=0.002))
-query("trn11_description_length_bpe")(trained(objective="description", least=3))
+#: Each over the words of benchmark, and over those of documents.
+for _name, _more in {
+    "trn02_bpe_merges": {},
+    "trn06_picky_bpe": {"picky": 0.9},
+    "trn07_scaffold_bpe": {"scaffold": True},
+    "trn09_pmi_bpe": {"objective": "pmi", "least": 3},
+    "trn10_smoothed_bpe": {"objective": "smoothed", "least": 3, "stop_ratio": 0.002},
+    "trn11_description_length_bpe": {"objective": "description", "least": 3},
+}.items():
+    query(_name)(trained(**_more))
+    query(f"{_name}_documents")(trained(document_counts, **_more))
 
 
 @query("trn08_trimmed_bpe")
@@ -167,9 +170,14 @@ def trimmed(spark, sf_dir):
     return spark.createDataFrame([(t,) for t in sorted(train_bpe.trimmed(c, merges(spark, sf_dir), 3))], "type string")
 
 
+@query("trn13_unigram_vocabulary_documents")
+def unigram_vocabulary_documents(spark, sf_dir):
+    return unigram_vocabulary(spark, sf_dir, document_counts)
+
+
 @query("trn13_unigram_vocabulary")
-def unigram_vocabulary(spark, sf_dir):
-    model = unigram.fit(document_counts(spark, sf_dir), 500, 2000, 8)
+def unigram_vocabulary(spark, sf_dir, counts=benchmark_counts):
+    model = unigram.fit(counts(spark, sf_dir), 500, 2000, 8)
     return spark.createDataFrame(sorted((t, round(p, 6)) for t, p in model.items()), "type string, logp double")
 
 
