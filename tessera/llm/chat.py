@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import checkpoint, partitions
+
 ROLES = ("system", "user", "assistant", "tool")
 KINDS = ("message", "regenerate", "edit", "delta")
 END = " </turn>\n"
@@ -53,9 +55,16 @@ def fold(log: DataFrame, conv: str = "conv_id", message: str = "message", seq: s
         F.max(F.when(F.col("k") == 2, F.col("seq"))).alias("again"),
         F.max(F.when(F.col("k") == 1, F.struct("seq", "role"))).alias("named"),
     )
-    before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
-    kept = messages.withColumn("ended", F.max("again").over(before)).where("ended is null or ended < began")
-    return kept.select("conv_id", "message", F.coalesce(F.col("named.role"), F.lit("")).alias("role"), folded.alias("text"))
+    if events.where("k = 2").limit(1).count():
+        # the latest regeneration of the messages before: within ranges of the order, then over the ranges that share a conversation
+        spark = log.sparkSession
+        ranged = checkpoint(messages.repartitionByRange(partitions(spark), "conv_id", "message").withColumn("__p", F.spark_partition_id()))
+        inside = Window.partitionBy("__p", "conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("__c").orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ranged.groupBy(F.col("conv_id").alias("__c"), F.col("__p").alias("__q")).agg(F.max("again").alias("top")).withColumn("carried", F.max("top").over(before))
+        both = ranged.withColumn("inside", F.max("again").over(inside)).join(ends, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__p") == F.col("__q")))
+        messages = both.withColumn("ended", F.greatest("inside", "carried")).where("ended is null or ended < began")
+    return messages.select("conv_id", "message", F.coalesce(F.col("named.role"), F.lit("")).alias("role"), folded.alias("text"))
 
 
 def escape(text: Column) -> Column:
@@ -149,3 +158,14 @@ def op2_chat(spark, sf_dir: str) -> DataFrame:
     log = rows.unionByName(extra).withColumn("message", F.struct(F.col("turn").alias("turn"), copy.alias("copy")))
     log = log.select("conv_id", "message", F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text")
     return conversations(render(fold(log)))
+
+
+#: Turns are escaped by the definition; what is read back is then what was written, so digests are of the table's own texts.
+SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *, replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') as er, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') as et from c),
+f as (select *, '### ' || case when role in ('system', 'user', 'assistant', 'tool') then upper(left(role, 1)) || substr(role, 2) else '=' || replace(er, ':', '\:') end || ': ' || et || ' </turn>' || chr(10) as formatted from e)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(length(formatted))::bigint as formatted_chars
+from f group by conv_id"""

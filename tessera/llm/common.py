@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import set_checkpoints, shared_folder, spread
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -31,7 +32,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table. A small one with texts, of fewer splits than there are cores, is spread over them."""
+    df = prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if {"text", "html"} & set(df.columns) else df
 
 
 def partitions(spark: SparkSession) -> int:
@@ -40,13 +43,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files that all executors share.
-
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests, local mode) a
-    temporary folder is made."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    """Cut the lineage through files that all executors share (the session's spark.checkpoint.dir)."""
+    set_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -98,14 +96,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[label[keep]])], names=["v", "m"])
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(v, m): every node of the links (a, b), with the smallest node that it reaches.
 
     Alternating large-star and small-star rounds on (v, m) rows until nothing changes. Each round takes
     grouped minima, which combine before the shuffle, and joins them back, so that a node with very many
     neighbours is no single task's group (the join splits under AQE). Every round ends in a checkpoint.
     Nodes without a link to another node aren't returned. Null ends are ignored; self-links and repeated
-    links change nothing."""
+    links change nothing. Rounds grow with the logarithm of a component's size; should `rounds` of them not be
+    enough, that is an error, never an unfinished result."""
     spark = edges.sparkSession
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("m")).where("v is not null and m is not null and v <> m")
@@ -124,6 +123,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before and now[0] == now[2]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components aren't settled after {rounds} rounds")
     return e.unionByName(e.select(F.col("m").alias("v"), "m").distinct())
 
 
@@ -131,16 +132,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """As checkpoint, for wide rows: a compressed Parquet table in the shared folder, read back."""
     import uuid
 
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        at = sc._jsc.sc().getCheckpointDir()
-        folder = at.get() if at.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
-    path = f"{folder.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df whose columns of these names (in any case) are called name_0, or the first such name that is free: an operator adds columns
+    by these names, and nothing of the table is lost or ambiguous."""
+    taken, wanted = {c.lower() for c in df.columns} | {n.lower() for n in names}, {n.lower() for n in names}
+    new = []
+    for c in df.columns:
+        if c.lower() in wanted:
+            k = next(k for k in range(len(taken) + 1) if f"{c.lower()}_{k}" not in taken)
+            taken.add(f"{c.lower()}_{k}")
+            c = f"{c}_{k}"
+        new.append(c)
+    return df.toDF(*new) if new != df.columns else df
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of start, start + 1, ... start + length - 1."""
     total = int(lengths.sum())

@@ -179,3 +179,15 @@ def op10_embeddings(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import read
 
     return near_duplicates(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: All pairs of a label, in double precision, and the smallest id reachable by links.
+SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+    where label is not null and embedding is not null and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+u as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as n from v where len(e) > 0),
+p as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.n > 0 and b.n > 0 and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r as (select vec_id as a, vec_id as m from embeddings union select p.b, r.m from r join p on p.a = r.a),
+c as (select a, min(m) as component_id from r group by a),
+l as (select a, count(*) as n from p group by a)
+select c.a as vec_id, coalesce(l.n, 0)::bigint as n_links, component_id, c.a = component_id as kept from c left join l on c.a = l.a"""

@@ -6,19 +6,23 @@ released blocks fills one slot after the other; the weights sum to 1, so every d
 source has had its share of the slots to within less than one block.
 
 Release times and deadlines are exact: the weights, as the doubles they are, are integers over their sum, of any size.
-The schedule of all blocks is laid out on the driver, a block after the other, and sent out as one slot number a block.
+The schedule of all blocks is laid out on the driver, a block after the other, and sent out as one slot number a block;
+it is bounded by BLOCKS, and more of them than that are refused: larger blocks (`block_rows`) hold more rows.
 When a source runs out, the rest go on with their weights in proportion, from that slot: an epoch per source at most.
 Every row is placed, none twice.
 
 Defined results: a null source is a source of its own; sources without a target weight get the smallest given one; a
 weight of 0 or less is refused; repeated rows are placed separately; the order of rows that equal each other in
-id and text is open; an empty table gives an empty result; other columns stay as they are.
+id and text is open; an empty table gives an empty result; other columns stay as they are, but for columns that are called
+block, slot or position already, which become block_0 and so on (or the next free number); they may be the source or the id.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from array import array
+from collections.abc import Callable
 from fractions import Fraction
 from math import gcd, inf, lcm
 
@@ -28,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Sources are collected with their sizes; more than this many are refused.
-SOURCES = 2048
+from tessera.llm.common import set_aside
+
+#: Sources are collected with their sizes; more than this many are refused. So are more blocks than fit in 256 MB of slot numbers.
+SOURCES, BLOCKS = 2048, 1 << 26
 #: Rows that one task ranks at once, on average.
 RANKED = 10_000
 
@@ -110,23 +116,35 @@ def epochs(blocks: list[int], weights: list[float]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, kind) for x in out]
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 16, source_col: str = "source", id_col: str = "doc_id", seed: int = 0, power: float = 0.5, text_col: str | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, float] | Callable[[str | None, int], float] | None = None, block_rows: int = 16, source_col: str = "source", id_col: str = "doc_id", seed: int = 0, power: float = 0.5,
+    text_col: str | None = None, out: tuple[str, str, str] = ("block", "slot", "position"),
+) -> DataFrame:
     """docs with block, slot and position: reading by position gives the mixture.
 
-    weights: by source; by default a source's share of the rows to the given power, scaled to sum to 1.
-    Position is slot * block_rows + place in the block; a source's last block may be short, which leaves a gap."""
+    weights: by source, or a function of the source and its rows; by default a source's share of the rows to the given power.
+    Position is slot * block_rows + place in the block; a source's last block may be short, which leaves a gap. A source's rows are in
+    the order of the MD5 of seed, id (and text)."""
     spark = docs.sparkSession
-    named = docs.withColumn("__u", F.xxhash64(F.lit(seed), F.col(id_col), *([F.col(text_col)] if text_col else [])))
-    sizes = docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n")).limit(SOURCES + 1).collect()
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), plain(id_col), *([plain(text_col)] if text_col else [])).cast("binary"))
+    named = docs.withColumn("__tessera_s", F.col(source_col).cast("string")).withColumn("__tessera_i", F.col(id_col)).withColumn("__tessera_u", key)
+    named = set_aside(named, *out)
+    sizes = named.groupBy(F.col("__tessera_s").alias("s")).agg(F.count("*").alias("n")).limit(SOURCES + 1).collect()
     if len(sizes) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     sizes = sorted(((r["s"], r["n"]) for r in sizes), key=lambda x: (x[0] is None, str(x[0])))
-    if weights is not None and any(not w > 0 for w in weights.values()):
+    if callable(weights):
+        w = [weights(s, n) for s, n in sizes]
+    else:
+        least = min(weights.values()) if weights else None
+        w = [weights.get(s, least) if weights else float(n) ** power for s, n in sizes]
+    if any(not x > 0 for x in [*w, *(weights.values() if isinstance(weights, dict) else [])]):
         raise ValueError("weights must be positive")
-    least = min(weights.values()) if weights else None
-    w = [weights.get(s, least) if weights else float(n) ** power for s, n in sizes]
-    plan = epochs([-(-n // block_rows) for _, n in sizes], w)
-    told = spark.sparkContext.broadcast(dict(zip([s for s, _ in sizes], plan)))
+    blocks = [-(-n // block_rows) for _, n in sizes]
+    if sum(blocks) > BLOCKS:
+        raise ValueError(f"more than {BLOCKS} blocks: take blocks of more rows")
+    told = spark.sparkContext.broadcast(dict(zip([s for s, _ in sizes], epochs(blocks, w))))
 
     @F.arrow_udf("long")
     def slot_of(sources: pa.Array, blocks: pa.Array) -> pa.Array:
@@ -139,20 +157,48 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
 
     # ranks within the source, a hot one split over many groups: buckets of the hash in order, then places in them
     bits = max(1, int(max([n for _, n in sizes], default=1) / RANKED).bit_length())
-    named = named.withColumn("__b", F.shiftrightunsigned("__u", 64 - bits))
-    before = Window.partitionBy("__s").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    counts = named.groupBy(F.col(source_col).alias("__s"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    inside = Window.partitionBy(source_col, "__b").orderBy(F.shiftrightunsigned("__u", 1), "__u", F.col(id_col))
-    ranked = named.withColumn("__r", F.row_number().over(inside) - 1)
-    ranked = ranked.join(counts, F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__c"))).withColumn("__r", F.col("__r") + F.col("__before"))
-    ranked = ranked.withColumn("block", F.floor(F.col("__r") / block_rows)).drop("__s")
-    ranked = ranked.withColumn("slot", slot_of(F.col(source_col), F.col("block"))).withColumn("position", F.col("slot") * block_rows + F.col("__r") % block_rows)
-    return ranked.drop("__u", "__b", "__c", "__n", "__before", "__r")
+    top = F.shiftrightunsigned(F.conv(F.substring("__tessera_u", 1, 8), 16, 10).cast("long"), 32 - min(bits, 32))
+    named = named.withColumn("__tessera_b", top)
+    before = Window.partitionBy("__tessera_s2").orderBy("__tessera_c").rowsBetween(Window.unboundedPreceding, -1)
+    counts = named.groupBy(F.col("__tessera_s").alias("__tessera_s2"), F.col("__tessera_b").alias("__tessera_c")).agg(F.count("*").alias("__tessera_n")).withColumn("__tessera_before", F.coalesce(F.sum("__tessera_n").over(before), F.lit(0)))
+    inside = Window.partitionBy("__tessera_s", "__tessera_b").orderBy("__tessera_u", "__tessera_i")
+    ranked = named.withColumn("__tessera_r", F.row_number().over(inside) - 1)
+    ranked = ranked.join(counts, F.col("__tessera_s").eqNullSafe(F.col("__tessera_s2")) & (F.col("__tessera_b") == F.col("__tessera_c"))).withColumn("__tessera_r", F.col("__tessera_r") + F.col("__tessera_before"))
+    block, slot, position = out
+    ranked = ranked.withColumn(block, F.floor(F.col("__tessera_r") / block_rows))
+    ranked = ranked.withColumn(slot, slot_of(F.col("__tessera_s"), F.col(block))).withColumn(position, F.col(slot) * block_rows + F.col("__tessera_r") % block_rows)
+    return ranked.drop(*(c for c in ranked.columns if c.startswith("__tessera_")))
+
+
+def target(source: str | None, rows: int = 0) -> int:
+    """The target weight of a source in op1_mixing: 1 to 8, by its name."""
+    return 1 + hashlib.md5((source or "").encode()).digest()[0] % 8
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    """All of documents, mixed to the square roots of the sources' sizes in blocks of 16 rows."""
+    """All of documents, mixed to target weights of 1 to 8 by source, in blocks of 16 rows."""
     from tessera.llm.common import read
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs).select("doc_id", "source", "block", "slot", "position")
+    return mix(docs, target).select("doc_id", "source", "block", "slot", "position")
+
+
+#: Slot after slot by the definition: of the live sources' next blocks that are released, the one of the earliest deadline.
+SQL = """
+with recursive s as (select source, row_number() over (order by source nulls last) as i, ceil(count(*) / 16.0)::bigint as blocks, 1 + ('0x' || substr(md5(coalesce(source, '')), 1, 2))::bigint % 8 as w from documents group by source),
+l as (select list(w order by i) as w, list(blocks order by i) as b, count(*)::bigint as n, sum(blocks)::bigint as slots from s),
+r as (
+  select 0::bigint as slot, 0::bigint as epoch, list_transform(b, lambda x: 0::bigint) as done, list_transform(b, lambda x: 0::bigint) as base, null::bigint as i, null::bigint as block from l
+  union all
+  select slot + 1, case when done[p] + 1 = b[p] then slot + 1 else epoch end, next, case when done[p] + 1 = b[p] then next else base end, p, done[p]
+  from (
+    select *, list_transform(done, lambda x, k: case when k = p then x + 1 else x end) as next from (
+      select *, list_min(list_transform(list_filter(range(1, n + 1), lambda k: done[k] < b[k] and (done[k] - base[k]) * total // w[k] <= slot - epoch),
+        lambda k: ((done[k] - base[k] + 1) * total + w[k] - 1) // w[k] * 100000 + k)) % 100000 as p
+      from (select r.*, l.*, list_sum(list_transform(range(1, n + 1), lambda k: case when done[k] < b[k] then w[k] else 0 end))::bigint as total from r, l where slot < slots))
+  )
+),
+placed as (select slot - 1 as slot, i, block from r where i is not null),
+d as (select doc_id, source, row_number() over (partition by source order by md5('0:' || coalesce(doc_id::varchar, '')), doc_id) - 1 as k from documents)
+select doc_id, d.source, (k // 16)::bigint as block, slot, (slot * 16 + k % 16)::bigint as position
+from d join s on d.source is not distinct from s.source join placed p on p.i = s.i and p.block = k // 16"""

@@ -23,4 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm import chat, embeddings, mixing, sharding
+
+    return {"op1_mixing": mixing.SQL, "op2_chat": chat.SQL, "op4_sharding": sharding.sql(), "op10_embeddings": embeddings.SQL}

@@ -7,7 +7,8 @@ A row's slot is the hash of its key modulo the table's size, so that placing a r
 table, whose size is a parameter and doesn't grow with the data.
 
 Defined results: rows whose key columns are all null go by the hash of nulls, all to one shard; equal keys go to the
-same shard; an empty table gives an empty result; other columns stay as they are.
+same shard; an empty table gives an empty result; other columns stay as they are, but for columns that are called slot or shard
+already, which become slot_0 and shard_0 (or the next free number); they may be the key.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import set_aside
+
 SLOTS = 65_537
 
 
@@ -50,11 +53,14 @@ def table(shards: list[str], slots: int = SLOTS, weights: list[int] | None = Non
 
 
 def assign(df: DataFrame, shards: list[str], key: str | list[str] = "doc_id", slots: int = SLOTS, weights: list[int] | None = None) -> DataFrame:
-    """df with slot and shard."""
+    """df with slot and shard. A row's hash is the first 60 bits of the MD5 of its keys as texts, nulls as such."""
     keys = [key] if isinstance(key, str) else key
     owner = table(shards, slots, weights)
-    told = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(owner.tolist())], "slot long, shard string")
-    return df.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(slots).cast("long"))).join(F.broadcast(told), "slot").select(*df.columns, "slot", "shard")
+    told = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(owner.tolist())], "__tessera_slot long, __tessera_shard string")
+    named = F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys))
+    slot = F.pmod(F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(slots).cast("long"))
+    placed = set_aside(df.withColumn("__tessera_slot", slot), "slot", "shard").join(F.broadcast(told), "__tessera_slot")
+    return placed.withColumnsRenamed({"__tessera_slot": "slot", "__tessera_shard": "shard"}).select(*(c for c in placed.columns if not c.startswith("__tessera_")), "slot", "shard")
 
 
 def write(df: DataFrame, path: str, shards: list[str], key: str | list[str] = "doc_id", **more) -> None:
@@ -62,7 +68,18 @@ def write(df: DataFrame, path: str, shards: list[str], key: str | list[str] = "d
     assign(df, shards, key, **more).drop("slot").write.partitionBy("shard").parquet(path)
 
 
+NAMES = [f"shard-{i:03d}" for i in range(256)]
+
+
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
     from tessera.llm.common import read
 
-    return assign(read(spark, sf_dir, "documents").select("doc_id"), [f"shard-{i:03d}" for i in range(256)])
+    return assign(read(spark, sf_dir, "documents").select("doc_id"), NAMES)
+
+
+def sql() -> str:
+    """The slot by DuckDB's own MD5; the owner of each slot, by the definition of the table, as a list."""
+    owner = ",".join(map(str, table(NAMES).tolist()))
+    return f"""with t as (select string_split('{owner}', ',') as owner),
+    d as (select doc_id, ('0x' || substr(md5(coalesce('=' || doc_id, '')), 1, 15))::bigint % {SLOTS} as slot from documents)
+    select doc_id, slot, 'shard-' || lpad(owner[slot + 1], 3, '0') as shard from d, t"""

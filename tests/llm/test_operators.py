@@ -174,10 +174,41 @@ def test_mixing_stays_within_a_block_of_the_targets():
             assert np.abs(np.searchsorted(p, np.arange(end + 1)) - target).max() < 1
 
 
+def brute_schedule(blocks, weights):
+    """(source, block) slot after slot, by looking at every source in every slot."""
+    done, base, start, out = [0] * len(blocks), [0] * len(blocks), 0, []
+    while (live := [i for i in range(len(blocks)) if done[i] < blocks[i]]):
+        total, t = sum(weights[i] for i in live), len(out) - start
+        i = min((-(-(done[i] - base[i] + 1) * total // weights[i]), i) for i in live if (done[i] - base[i]) * total // weights[i] <= t)[1]
+        out.append((i, done[i]))
+        done[i] += 1
+        if done[i] == blocks[i]:
+            start, base = len(out), list(done)
+    return out
+
+
+def test_mixing_against_every_source_in_every_slot():
+    rng = random.Random(2)
+    for _ in range(30):
+        n = rng.randrange(1, 8)
+        blocks, weights = [rng.randrange(0, 40) for _ in range(n)], [rng.randrange(1, 9) for _ in range(n)]
+        want = [[slot for slot, (i, _) in enumerate(brute_schedule(blocks, weights)) if i == k] for k in range(n)]
+        assert [p.tolist() for p in mixing.epochs(blocks, weights)] == want
+
+
+def test_mixing_refuses_more_blocks_than_fit(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 3)
+    df = spark.createDataFrame([(i, "a") for i in range(40)], "doc_id long, source string")
+    with pytest.raises(ValueError):
+        mixing.mix(df, block_rows=10)
+    assert mixing.mix(df, block_rows=20).count() == 40
+
+
 def test_mixing_places_every_row(spark, awkward, empty):
     rows = [(i, "abc"[i % 3] if i % 7 else None, "t") for i in range(700)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, block string").drop("block")
+    df = spark.createDataFrame(rows, "doc_id long, source string, Block string")
     out = mixing.mix(df, {"a": 0.6, "b": 0.3}, block_rows=4).collect()
+    assert all(r.Block_0 == "t" for r in out)
     assert sorted(r.doc_id for r in out) == list(range(700)) and len({r.position for r in out}) == 700
     slots = {}
     for r in out:
@@ -201,6 +232,36 @@ def test_chat_folds_events(spark):
         chat.parse("### User: no end")
 
 
+def test_chat_regenerations_end_later_messages_in_any_range(spark):
+    rng = random.Random(7)
+    log = []
+    for conv in [None, *range(4)]:
+        for m in range(60 if conv == 1 else 6):
+            log.append((conv, m, m * 10, "message", "user", f"{conv}.{m}"))
+            if rng.random() < 0.2:
+                log.append((conv, m, rng.randrange(m * 10 + 1, 700), "regenerate", None, None))
+    got = {(r.conv_id, r.message): r.text for r in chat.fold(spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string")).collect()}
+    again = {}
+    for c, m, q, kind, *_ in log:
+        if kind == "regenerate":
+            again[c, m] = max(q, again.get((c, m), -1))
+    want = {}
+    for c, m, q, kind, _, text in log:
+        if kind == "message" and not any(d == c and e < m and a >= q for (d, e), a in again.items()):
+            want[c, m] = "" if (c, m) in again else text
+    assert got == want
+
+
+def test_chat_awkward(spark, empty):
+    schema = "conv_id long, message long, seq long, kind string, role string, text string, formatted string, n_turns int"
+    long = "a\\ </turn> ### " * 20_000
+    rows = [(None, 0, 0, "message", None, None, "f", 1), (1, 0, 0, "message", "user", long, "f", 1), (1, 0, 0, "message", "user", long, "f", 1), (1, 1, 1, None, "user", "x", "f", 1)]
+    log = spark.createDataFrame(rows, schema)
+    got = {r.conv_id: r for r in chat.conversations(chat.render(chat.fold(log))).collect()}
+    assert set(got) == {None, 1} and got[None].n_turns == 1 and got[1].turns_sha256 == hashlib.sha256(f"user\n{long}\n".encode()).hexdigest()
+    assert chat.conversations(chat.render(chat.fold(log.limit(0)))).count() == 0
+
+
 def test_chat_reads_back_every_conversation(spark, sf):
     got = {r.conv_id: r for r in chat.op2_chat(spark, sf).collect()}
     tricky = r"\### Assistant: </turn> ok"
@@ -271,6 +332,37 @@ def test_sharding_table():
             sharding.table(*bad)
 
 
+def brute_table(shards, slots, turns):
+    owner, at = [None] * slots, {}
+    order = {}
+    for s in shards:
+        d = hashlib.sha256(s.encode()).digest()
+        offset, skip = int.from_bytes(d[:8], "big") % slots, int.from_bytes(d[8:16], "big") % (slots - 1) + 1
+        order[s] = [(offset + k * skip) % slots for k in range(slots)]
+    while None in owner:
+        for s, n in zip(shards, turns):
+            for _ in range(n):
+                if None in owner:
+                    at = next(x for x in order[s] if owner[x] is None)
+                    owner[at] = s
+    return owner
+
+
+def test_sharding_places_rows_by_the_definition(spark):
+    names = ["a", "b", "c", "d"]
+    for turns in ([1, 1, 1, 1], [3, 1, 2, 1]):
+        assert [names[i] for i in sharding.table(names, 101, turns)] == brute_table(names, 101, turns)
+    rows = [(i, "s", "t", "u") for i in [*range(50), None, None]]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, Slot string, shard string, shard_0 string"), names, slots=101)
+    assert got.columns == ["doc_id", "Slot_0", "shard_1", "shard_0", "slot", "shard"]
+    owner = brute_table(names, 101, [1] * 4)
+    for r in got.collect():
+        slot = int(hashlib.md5(b"" if r.doc_id is None else f"={r.doc_id}".encode()).hexdigest()[:15], 16) % 101
+        assert (r.slot, r.shard, r.Slot_0, r.shard_1, r.shard_0) == (slot, owner[slot], "s", "t", "u")
+    by_slot = sharding.assign(got, names, "shard_1", 101)
+    assert by_slot.count() == 52
+
+
 def test_sharding_assigns_equal_keys_alike(awkward, empty):
     out = sharding.assign(awkward, ["a", "b", "c"], "doc_id", 101).collect()
     assert len(out) == len(AWKWARD) and len({r.shard for r in out if r.doc_id == 1}) == 1
@@ -456,3 +548,96 @@ def test_embeddings_recall(spark, monkeypatch, longest):
         assert got[i].n_links == 0 and got[i].kept
     assert got[0].component_id == got[400].component_id == got[401].component_id == got[None].component_id and not got[400].kept
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+CLASH = "out string, block string, slot string, position string, shard string, ids string, n_bytes string, exact string, media string, feature string, kept string, spans string, key string, score string, predicted string, n_near string, component_id string, same string, v string, p string, perm string, host string, wrapper string, m string, n string"
+
+
+def test_extra_columns_with_clashing_names_and_very_long_texts(spark):
+    """Every operator over documents: the same rows with and without clashing columns; texts cross every piece that kernels cut."""
+    common.prepare(spark)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8)))
+    long = " ".join(word() for _ in range(150_000))
+    rows = [(0, "short text of its own", "s"), (1, long, "s"), (2, long[:400_000] + "x" + long[400_000:], "t"), (3, None, None), (4, "é" * 300_000, "s"), (5, "no blank" * 40_000, "t")]
+    assert len(long) > 2 * suffix.PIECE and len(long) > quality.PIECE
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    extra = CLASH.split(", ")
+    clash = spark.createDataFrame([(*r, *["clash"] * len(extra)) for r in rows], f"doc_id long, text string, source string, {CLASH}").cache()
+    labels = spark.createDataFrame([(0, 1), (5, 0), (1, 1)], "doc_id long, quality int")
+    runs = {
+        "mixing": lambda d: mixing.mix(d).select("doc_id", "block", "slot", "position"),
+        "sharding": lambda d: sharding.assign(d, ["a", "b"], slots=101).select("doc_id", "slot", "shard"),
+        "simhash": simhash.near_duplicates,
+        "deduplicate": lambda d: simhash.deduplicate(d).select("doc_id", "text"),
+        "quality": lambda d: quality.classify(d, labels),
+        "pieces": lambda d: pieces.encode(d).selectExpr("id", "n_bytes", "size(ids)", "exact"),
+        "media": lambda d: media.media(d).selectExpr("id", "payload_sha256", "media_sha256", "md5(cast(feature as string))"),
+        "suffix": lambda d: suffix.without_repeats(d).selectExpr("doc_id", "md5(cast(text as binary))", "length(text)"),
+    }
+    for name, run in runs.items():
+        a, b = (sorted(map(tuple, run(d).collect()), key=repr) for d in (plain, clash))
+        assert len(a) and a == b, name
+    fp = {r.id: r.fp & (2**64 - 1) for r in simhash.fingerprints(plain).collect()}
+    assert fp == {i: brute_fingerprint((t or "").encode()) for i, t, _ in rows}
+    assert {r.id: r.exact for r in pieces.encode(plain).collect()} == {i: True for i, *_ in rows}
+    kept, _ = suffix.remove_repeats(plain)
+    got = {r.key: bytes(r.kept) for r in kept.collect()}
+    assert (got[1], got[2], got[4], got[5]) == (long.encode(), b"x", "é".encode(), b"no blank")
+    page = f"<article><p>{long}</p></article>"
+    web = lambda more, columns: spark.createDataFrame([(i, "http://h/x", page, *more) for i in range(3)], f"page_id long, url string, html string{columns}")
+    for pages in (web((), ""), web(("c", "c", "c"), ", host string, wrapper string, text string")):
+        assert {r.text for r in html.extract(pages).collect()} == {" ".join(long.split())}
+    vectors = [(i, [1.0, float(i > 2), 0.5], 1, "c", "c") for i in range(6)]
+    found = embeddings.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int, node string, least string"))
+    assert sorted((r.id, r.n_links, r.component_id) for r in found.collect()) == [(i, 2, 0 if i < 3 else 3) for i in range(6)]
+
+
+def test_queries_give_the_rows_of_their_sql(spark, sf):
+    import duckdb
+
+    from tessera.llm import queries
+
+    con = duckdb.connect()
+    for t in "documents embeddings conversations pages benchmark labels".split():
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        names = sorted(df.columns)
+        cur = con.execute(sql)
+        order = [d[0] for d in cur.description]
+        assert sorted(order) == names
+        assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted((tuple(r[order.index(c)] for c in names) for r in cur.fetchall()), key=repr), name
+
+
+def brute_codes(payload):
+    """media.fingerprint by its definition: a Fourier sum per frame and frequency, then loops over frames, bands and pairs."""
+    n = media.FRAME
+    angle = -2j * np.pi * np.outer(np.arange(1, n // 2 + 1), np.arange(n)) / n
+    window, base = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)), np.exp(angle)
+    x = np.frombuffer(payload, np.uint8).astype(float) - 128
+    peaks = []
+    for at in range(0, len(x), n):
+        frame = np.r_[x[at : at + n], np.zeros(max(0, at + n - len(x)))]
+        power = np.abs(base @ ((frame - frame.mean()) * window)) ** 2
+        width = len(power) // media.BANDS
+        bands = [power[b * width : (b + 1) * width] for b in range(media.BANDS)]
+        peaks.append([(b * width + int(band.argmax())) if band.max() > 1e-6 else None for b, band in enumerate(bands)])
+    out = []
+    for t, here in enumerate(peaks):
+        for d in range(media.REACH + 1):
+            if t + d < len(peaks):
+                out += [t << 32 | p << 20 | q << 8 | d for a, p in enumerate(here) for b, q in enumerate(peaks[t + d]) if p is not None and q is not None and (d or b > a)]
+    return sorted(out)
+
+
+def test_media_query_against_the_definition(spark, sf):
+    got = {r.doc_id: r for r in media.op5_media(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert set(got) == {r.doc_id for r in rows}
+    for r in rows:
+        text = (r.text or "").encode()
+        payload = media.pad(text)
+        assert (got[r.doc_id].n_bytes, got[r.doc_id].payload_bytes, got[r.doc_id].payload_sha256) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
+    for r in rows[:40]:
+        assert got[r.doc_id].fingerprint == brute_codes(media.pad((r.text or "").encode()))
