@@ -32,7 +32,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    mixed = mixing.mix(docs).repartitionByRange("position").sortWithinPartitions("position")
+    names = ("__mixed_block", "__mixed_slot", "__mixed_position")
+    mixed = mixing.mix(docs, out=names).repartitionByRange(names[2]).sortWithinPartitions(names[2])
     return mixed.select(*docs.columns)
 
 
