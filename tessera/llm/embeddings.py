@@ -10,8 +10,9 @@ Equal vectors are one class from the start and link with each other; a class is
 than LIST is cut into blocks of some LIST entries, and every two of its blocks are a task's group, so that no group is
 unbounded and no pair is left out.
 
-The reference points come from a bounded sample (SAMPLE distinct vectors, by hash; at most `pivots` of them, well apart from each
-other), everything else covers every row.
+The reference points grow with the vectors, one for every PER distinct ones from PIVOTS on, so that lists stay as long as they are;
+their number is bounded by MOST and by BYTES. They are picked from a sample of SAMPLE times as many distinct vectors, by hash, well
+apart from each other; everything else covers every row.
 What the index misses is a parameter's choice: tests and README give the recall measured against brute force.
 
 Defined results: null, zero, empty vectors and those with null or non-finite components link with nothing, nor do rows with
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, connected_components, materialize, min_labels
 
-PIVOTS, NEAREST, SHARED, LIST = 512, 6, 2, 4096
-#: Vectors that pivots are picked from, and the cosine from which two are too close to be both picked.
-SAMPLE, APART = 4096, 0.9
+NEAREST, SHARED, LIST = 6, 2, 4096
+#: Reference points at least, distinct vectors for each of more, reference points at most, and bytes of them at most.
+PIVOTS, PER, MOST, BYTES = 512, 20, 16_384, 64 << 20
+#: Vectors that pivots are picked from, for each, and the cosine from which two are too close to be both picked.
+SAMPLE, APART = 4, 0.9
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -45,20 +48,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def separated(x: np.ndarray, most: int, cosine: float) -> np.ndarray:
     """Unit vectors, in order, that are no closer than the cosine to one taken before; at most so many. In a dense region more
     of them would order each other's neighbourhood finer than the links that are looked for."""
-    x, taken = _unit(x), np.zeros((0, x.shape[1]))
-    for v in x:
-        if len(taken) == most:
-            break
-        if not len(taken) or (taken @ v).max() < cosine:
-            taken = np.vstack([taken, v])
-    return taken
+    x = _unit(x)
+    taken, n = np.empty((min(most, len(x)), x.shape[1])), 0
+    for at in range(0, len(x), 256):
+        some, before = x[at : at + 256], n
+        far = (some @ taken[:n].T).max(axis=1, initial=-2.0) < cosine
+        for v in some[far]:
+            if n == most:
+                return taken
+            if (taken[before:n] @ v).max(initial=-2.0) < cosine:
+                taken[n], n = v, n + 1
+    return taken[:n]
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     """The k pivots of the largest cosine, nearest first, smaller number first on ties."""
-    if x.shape[1] != pivots.shape[1]:
-        return np.tile(np.arange(k), (len(x), 1))
-    return np.argsort(-np.round(_unit(x) @ pivots.T, 12), axis=1, kind="stable")[:, :k]
+    out = np.empty((len(x), k), np.int64)
+    for at in range(0, len(x), 256):  # a bounded part of the matrix at once
+        far = -np.round(_unit(x[at : at + 256]) @ pivots.T, 12)
+        few = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1) if len(pivots) > k else np.tile(np.arange(k), (len(far), 1))
+        out[at : at + 256] = np.take_along_axis(few, np.argsort(np.take_along_axis(far, few, axis=1), axis=1, kind="stable"), axis=1)
+    return out
 
 
 def pack(x: np.ndarray) -> list[bytes]:
@@ -115,7 +125,7 @@ def _search(batches: Iterator[pa.RecordBatch], shared: int, cosine: float) -> It
         yield out
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, pivots: int = PIVOTS, nearest_k: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, pivots: int | None = None, nearest_k: int = NEAREST, shared: int = SHARED) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
@@ -126,11 +136,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     classes = rows.where("same is not null").groupBy("same", "label").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least"))
     # the node's number is 63 bits of the digest: two classes in one would take some 2^31 classes
     classes = materialize(classes.withColumn("node", F.shiftrightunsigned(F.conv(F.substring("same", 1, 16), 16, -10).cast("long"), 1)))
-    sample = classes.orderBy("same").limit(SAMPLE).select("v").collect()
-    sizes: dict[int, list] = {}
-    for r in sample:
-        sizes.setdefault(len(r["v"]), []).append(r["v"])
-    table = {d: separated(np.array(v, np.float64), pivots, APART) for d, v in sizes.items()}
+    if pivots is None:
+        count, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+        pivots = max(nearest_k, min(max(PIVOTS, count // PER), MOST, BYTES // (8 * width)))
+    sample = classes.orderBy("same").limit(SAMPLE * pivots).select("v").toArrow().column("v").combine_chunks()
+    sizes = sample.value_lengths().to_numpy(zero_copy_only=False) if len(sample) else np.zeros(0, int)
+    table = {int(d): separated(sample.filter(pa.array(sizes == d)).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(d)), pivots, APART) for d in np.unique(sizes)}
     told = spark.sparkContext.broadcast(table)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +153,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 x = np.array([vectors[i] for i in at], np.float64)
                 p = told.value.get(d, np.zeros((0, d)))
                 # too few pivots of this length to tell vectors apart: one list for all of them
-                perm = nearest(x, p, nearest_k) if len(p) >= nearest_k else np.tile(np.arange(max(2, shared)), (len(at), 1))
+                perm = nearest(x, p, nearest_k) if len(p) >= nearest_k and p.shape[1] == d else np.tile(np.arange(max(2, shared)), (len(at), 1))
                 for i, q, blob in zip(at, perm.tolist(), pack(x)):
                     perms[i], packed[i] = q, blob
             arrays = [batch.column(i) for i in range(3)] + [pa.array([len(v) for v in vectors], pa.int32()), pa.array(perms, pa.list_(pa.int32())), pa.array(packed, pa.binary())]
