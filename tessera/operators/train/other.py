@@ -17,6 +17,8 @@ def count_words(pretokens: DataFrame, word: str = "pretoken", weight: str | None
 
 def ngram_counts(words: DataFrame, n_max: int, least: int, n_min: int = 1) -> DataFrame:
     """(n, gram, count) of words (word, count): an n-gram is looked at if its first or last n - 1 characters survived."""
+    from tessera.sources.artifacts import checkpoint
+
     grams = lambda n: words.where(F.length("word") >= n).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring("word", i, F.lit(n)))).alias("gram"), "count")
     out, before = None, None
     for n in range(1, n_max + 1):
@@ -26,7 +28,8 @@ def ngram_counts(words: DataFrame, n_max: int, least: int, n_min: int = 1) -> Da
             head = g.join(before, F.substring("gram", F.lit(1), cut) == before["g"], "left_semi")
             tail = g.join(before, F.substring("gram", F.lit(1), cut) == before["g"], "left_anti").join(before, F.substring("gram", F.lit(2), cut) == before["g"], "left_semi")
             g = head.unionByName(tail)
-        kept = g.groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+        # written, since the next length looks at it three times, and that one's at it again
+        kept = checkpoint(g.groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= least))
         before = kept.select(F.col("gram").alias("g"))
         if n >= n_min:
             part = kept.select(F.lit(n).alias("n"), "gram", "count")

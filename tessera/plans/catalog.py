@@ -102,4 +102,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     queries()
+    from tessera.plans import sql  # noqa: F401 - longer ones
     return dict(ORACLES)
