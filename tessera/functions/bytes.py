@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import CharMapper
+from tessera.functions.text import CharMapper, Marker
 
 
 def pseudo_table() -> list[str]:
@@ -56,3 +56,20 @@ def pseudo_bytes() -> CharMapper:
 
 def latin_bytes() -> CharMapper:
     return ByteMapper(latin_table())
+
+
+def token_to_bytes(c: Column, table: list[str], marker: Marker) -> Column:
+    """A token of pseudo-characters as binary; its boundary mark becomes the byte of a blank."""
+    parts = marker.isolate(c)
+    blank = F.when(parts["mark"] != "", F.lit(table[32])).otherwise(F.lit(""))
+    back = F.create_map(*(F.lit(x) for b, sign in enumerate(table) for x in (sign, f"{b:02X}")))
+    signs = F.filter(F.split(marker.concatenate(parts["root"], blank), ""), lambda x: x != "")
+    return F.unhex(F.array_join(F.transform(signs, lambda x: F.element_at(back, x)), ""))
+
+
+def bytes_to_token(c: Column, table: list[str], marker: Marker) -> Column:
+    """Binary as pseudo-characters; a blank at the mark's place becomes the mark."""
+    moved = [(chr(b), sign) for b, sign in enumerate(table) if chr(b) != sign]
+    signs = F.translate(F.decode(c, "ISO-8859-1"), "".join(a for a, _ in moved), "".join(b for _, b in moved))
+    parts = Marker(table[32], marker.detached, marker.side).isolate(signs)
+    return F.when(parts["mark"] != "", marker.concatenate(parts["root"], F.lit(marker.substitute))).otherwise(signs)

@@ -33,7 +33,9 @@ def geometric(p: float, most: int):
 
 
 def gobble(p: float, key: str, seed: int = 0) -> Map:
-    return lambda c: F.when(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) < int(p * (1 << 20)), F.lit("")).otherwise(c)
+    from tessera.operators.tokens import by_hash
+
+    return lambda c: F.when(by_hash(F.col(key), seed) < p, F.lit("")).otherwise(c)
 
 
 def fixed_truncate(start: int, end: int) -> Map:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from math import comb, factorial
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -213,3 +213,102 @@ def loc_key(lengths) -> int:
             return key + permutation_rank(lengths)
         key += multiset_permutations(p)
     raise AssertionError("no such partition")
+
+
+def framed(c: Column, sign: str = "#", width: int = 1) -> Column:
+    """A text with a frame of signs around its lines."""
+    lines = F.split(c, "\n")
+    n = F.array_max(F.transform(lines, F.length))
+    edge, side = F.repeat(F.lit(sign), n + (2 + 2 * width)), F.lit(sign * width)
+    inside = F.transform(lines, lambda x: F.concat(side, F.lit(" "), F.concat(x, F.repeat(F.lit(" "), n - F.length(x))), F.lit(" "), side))
+    return F.concat_ws("\n", edge, F.array_join(inside, "\n"), edge)
+
+
+def indented(c: Column, level: int, tab: str = "    ") -> Column:
+    """Every line after so many tabs; an empty last line stays empty."""
+    return F.concat(F.lit(tab * level), F.regexp_replace(c, r"\n(?!\z)", "\n" + tab * level))
+
+
+def aligned(c: Column, sign: str) -> Column:
+    """Blanks before the first such sign of each line, so that they stand in one column."""
+    lines = F.split(c, "\n")
+    top = F.array_max(F.transform(lines, lambda x: F.locate(sign, x)))
+    moved = F.transform(lines, lambda x: F.when(F.locate(sign, x) == 0, x).otherwise(F.concat(F.substring(x, F.lit(1), F.locate(sign, x) - 1), F.repeat(F.lit(" "), top - F.locate(sign, x)), F.substring(x, F.locate(sign, x), F.length(x)))))
+    return F.array_join(moved, "\n")
+
+
+def separated_thousands(c: Column, sep: str = " ") -> Column:
+    return F.replace(F.format_number(c, 0), F.lit(","), F.lit(sep))
+
+
+def percent(a: Column, b: Column, decimals: int = 2) -> Column:
+    return F.when(b == 0, F.lit("???%")).otherwise(F.concat(F.round(100 * a / b, decimals).cast("string"), F.lit("%")))
+
+
+def ordinal(c: Column) -> Column:
+    return F.concat(c.cast("string"), F.when(c == 1, "st").when(c == 2, "nd").when(c == 3, "rd").otherwise("th"))
+
+
+def pluralised(c: Column, singular: str, suffix: str = "s", plural: str = "") -> Column:
+    return F.concat(c.cast("string"), F.lit(" "), F.when(c == 1, singular).otherwise(plural or singular + suffix))
+
+
+def signed(c: Column) -> Column:
+    return F.concat(F.when(c >= 0, "+").otherwise(""), c.cast("string"))
+
+
+def compared(a: Column, b: Column) -> Column:
+    return F.concat(a.cast("string"), F.when(a == b, " = ").when(a > b, " > ").otherwise(" < "), b.cast("string"))
+
+
+def human(c: Column, digits: int = 2, base: int = 1000) -> Column:
+    """A number with a letter for its magnitude; rounded at each step, trailing zeros cut."""
+    signs = ["", *(x + ("i" if base == 1024 else "") for x in ("K", "M", "G", "T", "P", "E", "Z", "Y"))]
+    value, out, steps = c.cast("double"), None, []
+    for _ in signs:
+        steps.append(value)
+        value = F.round(value / base, digits)
+    shown = lambda x, s: F.concat(F.regexp_replace(F.regexp_replace(F.replace(F.format_number(x, digits), F.lit(","), F.lit("")), "0+$", ""), "\\.$", ""), F.lit(s))
+    for x, s in reversed(list(zip(steps, signs))):
+        out = shown(x, s) if out is None else F.when(F.abs(x) < base, shown(x, s)).otherwise(out)
+    return out
+
+
+def struct_to_map(c: Column, fields: list[str]) -> Column:
+    """name → value (as text) of the fields that aren't null."""
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(c[f].cast("string") for f in fields))), lambda k, v: v.isNotNull())
+
+
+def at_path(c: Column, path: str) -> Column:
+    for part in path.split("."):
+        c = c.getField(part)
+    return c
+
+
+def with_path(c: Column, path: str, value: Column) -> Column:
+    return c.withField(path, value)
+
+
+def pipe(*steps):
+    """One after the other, left to right."""
+    def run(x):
+        for s in steps:
+            x = s(x)
+        return x
+
+    return run
+
+
+def disambiguated(df: DataFrame, column: str, order: str, out: str = "name") -> DataFrame:
+    """df with a unique name per row: the text, with _2, _3, ... from its second row in order on. A name that another row has already is
+    numbered again, until all differ."""
+    from pyspark.sql.window import Window
+
+    from tessera.sources.artifacts import checkpoint
+
+    rows = df.withColumn(out, F.col(column))
+    while True:
+        k = F.row_number().over(Window.partitionBy(out).orderBy(order))
+        rows = checkpoint(rows.withColumn("__k", k).withColumn(out, F.when(F.col("__k") > 1, F.concat(F.col(out), F.lit("_"), F.col("__k").cast("string"))).otherwise(F.col(out))))
+        if not rows.where("__k > 1").limit(1).count():
+            return rows.drop("__k")

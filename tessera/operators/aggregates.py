@@ -69,3 +69,9 @@ def width_bins(df: DataFrame, value: Column, low: float, width: float, weight: C
     w = weight if weight is not None else F.lit(1.0)
     h = df.groupBy(F.floor((value - low) / width).alias("bin")).agg(F.sum(w).alias("n"))
     return h.crossJoin(F.broadcast(h.agg(F.sum("n").alias("t")))).select("bin", (F.col("n") / F.col("t")).alias("share"))
+
+
+def bucket_average(df: DataFrame, keys: list[str], bucket: str, value: Column) -> DataFrame:
+    """(keys, average, n): the mean over a key's buckets of an aggregate of each bucket, weighted by the bucket's rows."""
+    per = df.groupBy(*keys, bucket).agg(value.cast("double").alias("__f"), F.count("*").alias("__w"))
+    return per.groupBy(*keys).agg((F.sum(F.col("__f") * F.col("__w")) / F.sum("__w")).alias("average"), F.sum("__w").alias("n"))

@@ -37,14 +37,18 @@ def viterbi(score, max_step: int, n_objectives: int, accumulate):
     return run
 
 
-def least_tokens(vocab: frozenset[str], max_step: int = 20):
-    """Fewest tokens; of these, the one with the longest token."""
-    return viterbi(lambda w, i, j: (-1, j - i) if w[i:j] in vocab else None, max_step, 2, lambda a, b: (a[0] + b[0], max(a[1], b[1])))
+def _longest(types) -> int:
+    return max(map(len, types), default=1)
 
 
-def longest_product(vocab: frozenset[str], max_step: int = 20):
+def least_tokens(vocab: frozenset[str], max_step: int | None = None):
+    """Fewest tokens; of these, the one with the longest token. Steps reach as far as the longest type, unless said otherwise."""
+    return viterbi(lambda w, i, j: (-1, j - i) if w[i:j] in vocab else None, max_step or _longest(vocab), 2, lambda a, b: (a[0] + b[0], max(a[1], b[1])))
+
+
+def longest_product(vocab: frozenset[str], max_step: int | None = None):
     """The largest product of token lengths."""
-    return viterbi(lambda w, i, j: (j - i,) if w[i:j] in vocab else None, max_step, 1, lambda a, b: (a[0] * b[0],))
+    return viterbi(lambda w, i, j: (j - i,) if w[i:j] in vocab else None, max_step or _longest(vocab), 1, lambda a, b: (a[0] * b[0],))
 
 
 def unigram(logp: dict[str, float], max_step: int | None = None):
@@ -52,19 +56,98 @@ def unigram(logp: dict[str, float], max_step: int | None = None):
     return viterbi(lambda w, i, j: (logp[w[i:j]],) if w[i:j] in logp else None, max_step or max(map(len, logp), default=1), 1, lambda a, b: (a[0] + b[0],))
 
 
-def least_then_probable(logp: dict[str, float], max_step: int = 20):
-    return viterbi(lambda w, i, j: (-1, logp[w[i:j]]) if w[i:j] in logp else None, max_step, 2, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+def k_best(word: str, logp: dict[str, float], k: int) -> list[tuple[float, list[str]]]:
+    """The k likeliest segmentations with their log probabilities, likeliest first; earlier cuts first on ties."""
+    most = _longest(logp)
+    ways: list[list[tuple[float, tuple[int, ...]]]] = [[(0.0, ())]] + [[] for _ in word]
+    for j in range(1, len(word) + 1):
+        new = [(s + p, cuts + (j,)) for i in range(max(0, j - most), j) if (p := logp.get(word[i:j])) is not None for s, cuts in ways[i]]
+        ways[j] = sorted(new, key=lambda x: (-x[0], x[1]))[:k]
+    return [(s, [word[a:b] for a, b in zip((0, *cuts), cuts)]) for s, cuts in ways[-1]]
+
+
+def unigram_sampled(logp: dict[str, float], k: int = 16, power: float = 1.0):
+    """One of the k likeliest segmentations, drawn by its probability to the power; without any, characters."""
+
+    def run(word: str, rng) -> list[str]:
+        best = k_best(word, logp, k)
+        if not best:
+            return list(word)
+        weight = [math.exp(power * (s - best[0][0])) for s, _ in best]
+        u = rng.random() * sum(weight)
+        for w, (_, tokens) in zip(weight, best):
+            u -= w
+            if u <= 0:
+                return tokens
+        return best[-1][1]
+
+    return run
+
+
+def grid(score, word: str, most: int) -> list[list]:
+    """score(word, i, j) of every step: row i, column j - i - 1, None where it isn't allowed."""
+    return [[score(word, i, j) for j in range(i + 1, min(len(word), i + most) + 1)] for i in range(len(word))]
+
+
+def to_probabilities(cells: list[list]) -> list[list]:
+    return [[None if s is None else math.exp(s) for s in row] for row in cells]
+
+
+def with_strings(cells: list[list], word: str) -> list[list]:
+    """Each step's score with its string."""
+    return [[None if s is None else (s, word[i : i + k + 1]) for k, s in enumerate(row)] for i, row in enumerate(cells)]
+
+
+def discretised(cells: list[list], low: float, high: float, levels: int) -> list[list]:
+    """Scores in [low, high) on so many equally spaced values from low to high, by buckets of equal width; others stay."""
+    def one(s):
+        if s is None or not low <= s < high:
+            return s
+        return low + (high - low) / (levels - 1) * min(levels - 1, int((s - low) / (high - low) * levels))
+
+    return [[one(s) for s in row] for row in cells]
+
+
+def of_grid(build, most: int):
+    """A segmenter over a grid: build(word) gives the cells; the largest sum wins."""
+    memo: dict = {}
+
+    def score(w: str, i: int, j: int):
+        if memo.get("w") != w:
+            memo.clear()
+            memo.update(w=w, g=build(w))
+        s = memo["g"][i][j - i - 1]
+        return None if s is None else (s,)
+
+    return viterbi(score, most, 1, lambda a, b: (a[0] + b[0],))
+
+
+def gold_boundary(gold: dict[str, list[str]], shift: int = 0):
+    """A classifier of characters that knows the answer: 1 at the last character of each morph but the last, moved by the mark's length."""
+
+    def run(word: str) -> list[float]:
+        p, at = [0.0] * len(word), shift - 1
+        for t in gold.get(word[shift:], [])[:-1]:
+            at += len(t)
+            p[at] = 1.0
+        return p
+
+    return run
+
+
+def least_then_probable(logp: dict[str, float], max_step: int | None = None):
+    return viterbi(lambda w, i, j: (-1, logp[w[i:j]]) if w[i:j] in logp else None, max_step or _longest(logp), 2, lambda a, b: (a[0] + b[0], a[1] + b[1]))
 
 
-def probable_then_least(logp: dict[str, float], levels: int = 10, max_step: int = 20):
+def probable_then_least(logp: dict[str, float], levels: int = 10, max_step: int | None = None):
     """Log probabilities in so many equal steps, then the fewest tokens."""
     low, high = min(logp.values()), max(logp.values())
     step = (high - low) / levels or 1.0
     level = {t: -int((high - p) / step) for t, p in logp.items()}
-    return viterbi(lambda w, i, j: (level[w[i:j]], -1) if w[i:j] in level else None, max_step, 2, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    return viterbi(lambda w, i, j: (level[w[i:j]], -1) if w[i:j] in level else None, max_step or _longest(logp), 2, lambda a, b: (a[0] + b[0], a[1] + b[1]))
 
 
-def boundary_sum(vocab: frozenset[str] | None, boundary, transform=lambda p: 2 * p - 1, inner: bool = False, product: bool = False, at_least: bool = False, max_step: int = 20):
+def boundary_sum(vocab: frozenset[str] | None, boundary, transform=lambda p: 2 * p - 1, inner: bool = False, product: bool = False, at_least: bool = False, max_step: int | None = None):
     """Maximises the transformed boundary probabilities at chosen cuts (inner: and of the complements inside the tokens).
 
     boundary(word) gives a probability after each character. vocab None allows any token; at_least allows prefixes of types."""
@@ -84,7 +167,8 @@ def boundary_sum(vocab: frozenset[str] | None, boundary, transform=lambda p: 2 *
                 s = s * transform(1 - p[k]) if product else s + transform(1 - p[k])
         return (s,)
 
-    return viterbi(score, max_step, 1, (lambda a, b: (a[0] * b[0],)) if product else (lambda a, b: (a[0] + b[0],)))
+    most = max_step or (_longest(vocab) if vocab is not None else 1 << 30)
+    return viterbi(score, most, 1, (lambda a, b: (a[0] * b[0],)) if product else (lambda a, b: (a[0] + b[0],)))
 
 
 def top_down(vocab: frozenset[str], boundary):

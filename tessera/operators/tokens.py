@@ -51,3 +51,48 @@ def memoised(df: DataFrame, kernel: Callable[[Column], Column], pretoken: str =
 def any_token_of(df: DataFrame, tokens: str, wanted: list[str]) -> DataFrame:
     """Rows that hold a token of the set."""
     return df.where(F.arrays_overlap(tokens, F.array(*map(F.lit, wanted))))
+
+
+def by_hash(key: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) from the MD5 of seed and key: the same wherever the row is."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def bernoulli(df: DataFrame, key: str, p: float, complement: bool = False, seed: int = 0) -> DataFrame:
+    """Every row with probability p, drawn by its key; complement: the others."""
+    u = by_hash(F.col(key), seed)
+    return df.where(u >= p if complement else u < p)
+
+
+def take(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
+def drop(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    return df.orderBy(*order).offset(n)
+
+
+def unzipped(df: DataFrame, key: str, *parts: str) -> list[DataFrame]:
+    """A table per part, each with the key, for consumers of their own."""
+    return [df.select(key, p) for p in parts]
+
+
+def recombined(parts: list[DataFrame], key: str) -> DataFrame:
+    """The parts of `unzipped`, as their consumers left them, by the key; a row that one of them dropped is gone."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, key)
+    return out
+
+
+def seconds_per_row(df: DataFrame, laps: int = 3) -> tuple[int, list[float]]:
+    """(rows, seconds of each lap): the whole plan, written nowhere; the first lap warms up and doesn't count."""
+    from time import perf_counter
+
+    took = []
+    for _ in range(laps + 1):
+        began = perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        took.append(perf_counter() - began)
+    return df.count(), took[1:]

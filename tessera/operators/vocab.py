@@ -118,7 +118,9 @@ def fewest(*candidates: Column) -> Column:
 
 def drawn(probabilities: list[float], key: Column, *candidates: Column, seed: int = 0) -> Column:
     """One of the candidates by a hash of the key: the draw doesn't depend on partitioning."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    from tessera.operators.tokens import by_hash
+
+    u = by_hash(key, seed)
     out, edge = candidates[-1], sum(probabilities[: len(candidates) - 1])
     for p, c in reversed(list(zip(probabilities, candidates[:-1]))):
         out = F.when(u < edge, c).otherwise(out)
@@ -134,3 +136,84 @@ def boundary_marker(types: DataFrame, threshold: float = 0.5, most: int = 16) ->
     cut = lambda side: types.where("type <> ''").select(F.lit(side).alias("side"), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("type", F.lit(1), i) if side == "start" else F.right(F.col("type"), i))).alias("mark"))
     counts = cut("start").unionByName(cut("end")).groupBy("side", "mark").agg((F.count("*") / total).alias("share")).where(F.col("share") >= threshold)
     return counts.groupBy("side").agg(F.max_by(F.struct("mark", "share"), F.length("mark")).alias("b")).select("side", "b.*")
+
+
+def known(tokens: DataFrame, vocab: DataFrame, token: str = "token", infinite: bool = False) -> DataFrame:
+    """tokens with known: is it a type? An infinite domain has every type."""
+    if infinite:
+        return tokens.withColumn("known", F.lit(True))
+    marked = vocab.select(F.col("type").alias(token)).distinct().withColumn("__known", F.lit(True))
+    return tokens.join(marked, token, "left").withColumn("known", F.coalesce("__known", F.lit(False))).drop("__known")
+
+
+def multiplexed(choice: Column, *candidates: Column) -> Column:
+    """The candidate of that number."""
+    out = candidates[-1]
+    for i, c in enumerate(candidates[:-1]):
+        out = F.when(choice == i, c).otherwise(out)
+    return out
+
+
+def succession(head, *tails):
+    """A segmenter of a column, then segmenters of token lists, each given what the one before made."""
+    def run(c: Column) -> Column:
+        out = head(c)
+        for t in tails:
+            out = t(out)
+        return out
+
+    return run
+
+
+def joined_in(n: int):
+    """Token lists: every n neighbours become one."""
+    def run(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(n))
+        return F.when(F.size(tokens) == 0, tokens).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), "")))
+
+    return run
+
+
+def added(vocab: DataFrame, types: list[str]) -> DataFrame:
+    """vocab with the types that it hasn't, on the ids after its last."""
+    new = vocab.sparkSession.createDataFrame([(i, t) for i, t in enumerate(dict.fromkeys(types))], "rank long, type string").join(vocab.select("type"), "type", "left_anti")
+    top = vocab.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("top"))
+    ranked = global_rank(new, F.col("rank"), out="id").crossJoin(F.broadcast(top))
+    return vocab.select("type", "id").unionByName(ranked.select("type", (F.col("id") + F.col("top")).alias("id")))
+
+
+def popped(vocab: DataFrame, types: list[str]) -> DataFrame:
+    """vocab without the types; those after them move up."""
+    return compacted(vocab.where(~F.col("type").isin(*types)))
+
+
+def special_ranges(ids: DataFrame, column: str = "id") -> DataFrame:
+    """(low, high) of the runs of neighbouring ids, inclusive."""
+    i = global_rank(ids.select(F.col(column).alias("id")).distinct(), F.col("id"), out="__k")
+    return i.groupBy(F.col("id") - F.col("__k")).agg(F.min("id").alias("low"), F.max("id").alias("high")).select("low", "high")
+
+
+def repaired(types: int, specials: dict[str, int]) -> dict[str, int]:
+    """Absolute ids for a vocabulary that turned out too small for them: what lies beyond the ids that are taken moves down."""
+    out, end = {}, types
+    for name, i in sorted(specials.items(), key=lambda x: x[1]):
+        out[name] = min(i, end)
+        end += 1
+    return out
+
+
+def split_flat(flat: DataFrame, specials: dict[str, str], unk: str | None = None) -> tuple[DataFrame, dict[str, int], int | None]:
+    """(types, ids of the specials by name, id of UNK) of a flat vocabulary (type, id) with a string for every special.
+
+    Ids must be 0, 1, 2, ... without gaps or repeats, and every string a type; UNK isn't a special."""
+    if "UNK" in specials or unk in specials.values():
+        raise ValueError("UNK doesn't count as a special")
+    n, distinct, low, high = flat.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()
+    if n != distinct or low != 0 or high != n - 1:
+        raise ValueError("ids must be contiguous from 0")
+    wanted = [*specials.values(), *([unk] if unk is not None else [])]
+    found = {r["type"]: r["id"] for r in flat.where(F.col("type").isin(*wanted)).collect()} if wanted else {}
+    if set(found) != set(wanted):
+        raise ValueError(f"not in the vocabulary: {sorted(set(wanted) - set(found))}")
+    types = flat.where(~F.col("type").isin(*wanted)) if wanted else flat
+    return types, {name: found[s] for name, s in specials.items()}, found.get(unk)

@@ -62,7 +62,6 @@ mapped("map23_pseudo_bytes_inverse", lambda c: B.pseudo_bytes().invert(B.pseudo_
 mapped("map24_latin_bytes_inverse", lambda c: B.latin_bytes().invert(B.latin_bytes()(c)), "text")
 mapped("map25_nfkc", T.normalise(), None)
 mapped("map26_truncate_and_normalise", T.truncate_and_normalise(500), None)
-mapped("map28_gobble", P.gobble(0.5, "doc_id"), None)
 mapped("map29_fixed_truncate", P.fixed_truncate(5, 7), "substr(text, 6, greatest(0, length(text) - 12))")
 mapped("map31_pop", P.pop(0.5, 0.1), None)
 mapped("map32_insert", P.insert(0.5, 0.1), None)

@@ -135,3 +135,52 @@ def assemble(metrics: list[tuple[str, DataFrame]]) -> DataFrame:
         m = m.withColumnsRenamed({c: f"{c}_{suffix}" for c in m.columns})
         out = m if out is None else out.crossJoin(m)
     return out
+
+
+def path_safe(name: str) -> str:
+    """A name that any file system takes: other signs become underscores."""
+    return "".join(c if c.isalnum() or c in "-_.=" else "_" for c in name)
+
+
+def write_lines(spark: SparkSession, rows: list[str], path: str) -> None:
+    """Few lines, in order, in one file."""
+    spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_events(spark: SparkSession, log: list[tuple[bool, tuple[str, ...]]], path: str) -> None:
+    """The log of a trainer that also splits, one event a line, as `events` reads it."""
+    write_lines(spark, [f"{'+' if is_merge else '-'} {' '.join(parts)}" for is_merge, parts in log], path)
+
+
+def write_likelihoods(spark: SparkSession, logp: dict[str, float], path: str) -> None:
+    """type<TAB>log probability, as `likelihoods` reads it."""
+    write_lines(spark, [f"{t}\t{p!r}" for t, p in sorted(logp.items())], path)
+
+
+def write_ablated(spark: SparkSession, merges: list[tuple[str, ...]], removed: set[str], path: str) -> None:
+    """Merges of which some types are taken out again: the merges, and the types, each by itself."""
+    write_merges(spark, merges, f"{path}/merges")
+    spark.createDataFrame([(t,) for t in sorted(removed)], "type string").write.mode("overwrite").parquet(f"{path}/removed")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def ablated(spark: SparkSession, path: str) -> tuple[list[tuple[str, ...]], set[str]]:
+    if not (exists(spark, f"{path}/merges/_SUCCESS") and exists(spark, f"{path}/removed/_SUCCESS")):
+        raise FileNotFoundError(path)
+    rows = spark.read.parquet(f"{path}/merges").orderBy("priority").collect()
+    return [tuple(r["parts"]) for r in rows], {r[0] for r in spark.read.parquet(f"{path}/removed").collect()}
+
+
+def write_table(df: DataFrame, path: str, *by: str) -> None:
+    """Accessors, confusion counts, summaries: Parquet, by side or another small key, without gathering it."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*by) if by else w).parquet(path)
+
+
+def status(results: dict[str, str | None]) -> list[tuple[str, str]]:
+    """(metric, what became of it): finished, ended early, or failed with an error."""
+    return [(name, "finished" if error is None else "ended early" if error == "early exit" else f"failed: {error}") for name, error in results.items()]

@@ -111,6 +111,28 @@ def run_once(stream: DataFrame, keys: str | list[str], mode: str = "complete", c
     return latest.select(*keys, "__r.*")
 
 
+class EarlyExit(Exception):
+    """A metric that has seen enough: it ends without a failure, the others go on."""
+
+
+def run_all(batch: DataFrame, metrics: dict[str, Callable[[DataFrame], DataFrame]], write: Callable[[str, DataFrame], None]) -> dict[str, str | None]:
+    """Every metric over one cached table, each by itself: name → None, 'early exit', or its error."""
+    out: dict[str, str | None] = {}
+    batch.persist()
+    try:
+        for name, metric in metrics.items():
+            try:
+                write(name, metric(batch))
+                out[name] = None
+            except EarlyExit:
+                out[name] = "early exit"
+            except Exception as e:  # noqa: BLE001 - one metric's failure must not stop the rest
+                out[name] = type(e).__name__
+    finally:
+        batch.unpersist()
+    return out
+
+
 def fan_out(metrics: dict[str, Callable[[DataFrame], DataFrame]], write: Callable[[str, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the batch is cached once, every metric computed and written by itself; errors are reported at the end."""
 
