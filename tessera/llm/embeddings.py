@@ -62,12 +62,16 @@ def separated(x: np.ndarray, most: int, cosine: float) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
-    """The k pivots of the largest cosine, nearest first, smaller number first on ties."""
-    out = np.empty((len(x), k), np.int64)
+    """The k pivots of the largest cosine, nearest first, smaller number first on ties.
+
+    Single precision finds a few more than k; double precision orders them."""
+    out, small, more = np.empty((len(x), k), np.int64), pivots.astype(np.float32), min(len(pivots), k + 10)
     for at in range(0, len(x), 256):  # a bounded part of the matrix at once
-        far = -np.round(_unit(x[at : at + 256]) @ pivots.T, 12)
-        few = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1) if len(pivots) > k else np.tile(np.arange(k), (len(far), 1))
-        out[at : at + 256] = np.take_along_axis(few, np.argsort(np.take_along_axis(far, few, axis=1), axis=1, kind="stable"), axis=1)
+        unit = _unit(x[at : at + 256])
+        far = unit.astype(np.float32) @ small.T
+        few = np.sort(np.argpartition(far, len(pivots) - more, axis=1)[:, len(pivots) - more :], axis=1) if len(pivots) > more else np.tile(np.arange(more), (len(far), 1))
+        cosine = -np.round(np.einsum("ij,ikj->ik", unit, pivots[few]), 12)
+        out[at : at + 256] = np.take_along_axis(few, np.argsort(cosine, axis=1, kind="stable")[:, :k], axis=1)
     return out
 
 
