@@ -28,6 +28,8 @@ from tessera.llm.common import checkpoint, connected_components, min_labels, tex
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: A key's rows beyond this many are split again by the bits that the key leaves free.
 SPLIT = 8192
+#: Rows that are looked at together, unless one key has more.
+PIECE = 200_000
 
 
 def fingerprint(text: bytes, seed: int = 42) -> int:
@@ -154,16 +156,18 @@ def _verify(batches: Iterator[pa.RecordBatch], blocks: list[tuple[int, int]], di
         return pa.RecordBatch.from_arrays([pa.array(fp[some].view(np.int64)), pa.array(near[some]), pa.array(fp[to[some]].view(np.int64))], names=["fp", "near", "root"])
 
     held: list[tuple[np.ndarray, ...]] = []
+    limit = PIECE
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()))
-        if sum(len(x[0]) for x in held) < 200_000:
+        if sum(len(x[0]) for x in held) < limit:
             continue
         t, key, fp, n = (np.concatenate(x) for x in zip(*held))
         last = int(np.flatnonzero((t == t[-1]) & (key == key[-1]))[0])  # this key may go on in the next batch
         if last:
             yield work(t[:last], key[:last], fp[:last], n[:last])
+        limit = max(PIECE, 2 * (len(t) - last))  # a key that goes on is put together anew only when it has doubled
         held = [(t[last:], key[last:], fp[last:], n[last:])]
     if held:
         yield work(*(np.concatenate(x) for x in zip(*held)))

@@ -36,6 +36,8 @@ from tessera.llm.common import hash_bytes, materialize, mix64, partitions, range
 GRAM = 32
 #: Bytes that are hashed at once, and bytes that are sorted at once.
 PIECE, SORTED = 1 << 18, 1 << 20
+#: Bytes of text for each bucket of minimisers, at most on average; the session's shuffle partitions are the least number of buckets.
+BUCKET = 256 << 20
 #: Slices of different bytes under one minimiser, beyond which their windows are compared by hash.
 CROWD = 4096
 #: Documents in the routing sample, and the share of them that makes a minimiser hot.
@@ -377,9 +379,9 @@ def _cover(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["id", "start", "stop"])
 
 
-def _hot(docs: DataFrame, length: int) -> np.ndarray:
+def _hot(docs: DataFrame, length: int, rows: int) -> np.ndarray:
     """Minimisers with different slices in a noticeable share of a bounded sample; at most some 100 per SAMPLE * HOT documents."""
-    share = SAMPLE / max(1, docs.count())
+    share = SAMPLE / max(1, rows)
     some = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,8 +399,9 @@ def _hot(docs: DataFrame, length: int) -> np.ndarray:
 def repeated_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     """docs (id, text), ids distinct → (documents by id, spans (id, start, stop) of repeated bytes, overlapping, by id)."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    hot = _hot(docs, length)
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(partitions(spark), -(-size // BUCKET))
+    hot = _hot(docs, length, rows)
     told = spark.sparkContext.broadcast(hot)
     runs = docs.mapInArrow(lambda it: _describe(it, length, n, told.value), "bucket int, runs binary").repartition(n, "bucket")
     found = materialize(runs.mapInArrow(lambda it: _compare(it, length), SPAN + ", kind int, m long"))
