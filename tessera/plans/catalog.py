@@ -95,7 +95,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tessera.plans import extra, metrics, models, more, texts  # noqa: F401 - they register theirs
+    from tessera.plans import extra, further, metrics, models, more, texts  # noqa: F401 - they register theirs
 
     return dict(QUERIES)
 

@@ -15,7 +15,7 @@ from tessera.operators import morphology as M
 from tessera.operators import tokens as TK
 from tessera.operators import windows as W
 from tessera.operators.segment import native as N
-from tessera.plans.catalog import TOKENS, WORDS, WS, query, table, words
+from tessera.plans.catalog import ORACLES, TOKENS, WORDS, WS, query, table, words
 
 COUNTS = f"(select token, count(*) as n from {TOKENS} group by token)"
 
@@ -125,9 +125,9 @@ def accessor_summary(spark, sf_dir):
     return s.select("side", "center", "total", "av", *(F.round(c, 6).alias(c) for c in ("boundary_ratio", "coverage", "uniqueness", "mcu")))
 
 
-@query("agg16_weaker_side")
+@query("agg16_weaker_side", f"select center, arg_min(side, k) as side, min(av) as av, arg_min(total, k) as total from (select *, av * 2 + (case when side = 'right' then 0 else 1 end) as k from ({ORACLES['agg15_accessor_summary']})) group by center")
 def weaker(spark, sf_dir):
-    return A.weaker_side(A.summarise(acc(spark, sf_dir)))
+    return A.weaker_side(A.summarise(acc(spark, sf_dir))).select("center", "side", "av", "total")
 
 
 @query("fil06_accessors_without_types", f"select side, center, neighbour, count(*)::double as n from {ACC} where center not in ('the', 'of') and (neighbour is null or neighbour not in ('the', 'of')) group by all")

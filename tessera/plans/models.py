@@ -24,12 +24,28 @@ def benchmark_counts(spark, sf_dir) -> DataFrame:
     return other.count_words(t)
 
 
+def once(fit):
+    """A model that several queries of a session fit on the same tables is fitted once."""
+    kept: dict = {}
+
+    def run(spark, sf_dir):
+        key = spark.sparkContext.applicationId, sf_dir
+        if key not in kept:
+            kept.clear()
+            kept[key] = fit(spark, sf_dir)
+        return kept[key]
+
+    return run
+
+
+@once
 def vocabulary(spark, sf_dir) -> frozenset[str]:
     v = other.ngram_vocabulary(benchmark_counts(spark, sf_dir), TYPES, 5, 2, 2).select("type").collect()
     letters = benchmark_counts(spark, sf_dir).select(F.explode(F.split("word", "")).alias("c")).distinct().collect()
     return frozenset([r[0] for r in v] + [r[0] for r in letters if r[0]])
 
 
+@once
 def merges(spark, sf_dir) -> train_bpe.Result:
     return train_bpe.fit(benchmark_counts(spark, sf_dir), 400)
 
@@ -117,7 +133,7 @@ def segmentation_counts(spark, sf_dir):
     """ways is infinite beyond doubles; log2_ways tells how many there are."""
     v = vocabulary(spark, sf_dir)
     w = distinct_words(spark, sf_dir).select("word", Y.count_segmentations(v)(F.col("word")).cast("double").alias("ways"), Y.log_segmentations(v)(F.col("word")).alias("log2_ways"))
-    return w.withColumn("ways", F.coalesce("ways", F.pow(F.lit(2.0), F.col("log2_ways"))))
+    return w.select("word", F.coalesce("ways", F.pow(F.lit(2.0), F.col("log2_ways"))).alias("ways"), F.round("log2_ways", 6).alias("log2_ways"))
 
 
 

@@ -289,3 +289,60 @@ def encoded(steps: str, last: str = "1000000") -> str:
 
 ORACLES["tok01_bpe"] = encoded("(select 400 - letters from letters)")
 ORACLES["tok11_truncated_bpe"] = encoded("(select 400 - letters from letters)", "(select max(step) - 100 from m)")
+
+
+# Ways to write a word, and searches that other recursions can't show.
+WAYS = f"""with recursive {VOCABULARY}, r(word, j, b) as (select token, 1::bigint, [1::hugeint] from {{words}}
+  union all select word, j + 1, b || [{' + '.join(f"case when j >= {k} and b[j - {k} + 1] > 0 and substr(word, j - {k} + 1, {k}) in (select t from v) then b[j - {k} + 1] else 0::hugeint end" for k in (1, 2, 3, 4, 5))}] from r where j <= length(word)),
+ways as (select word, b[-1] as ways from r where j > length(word))"""
+_log = "case when ways = 0 then '-infinity'::double else log2(ways::double) end"
+ORACLES["scl28_segmentation_counts"] = WAYS.format(words=ALL) + f" select word, ways::double as ways, round({_log}, 6) as log2_ways from ways"
+ORACLES["tok35_path_counts"] = WAYS.format(words=ALL) + " select word as token, ways::double as ways from ways"
+ORACLES["scl29_pretoken_segmentations"] = WAYS.format(words="(select distinct w as token from b)") + f", t as (select item_id, unnest({WORDS}) as word from benchmark) select item_id, round(sum({_log}), 4) as log2_ways, sum(length(word))::bigint as chars, count(*)::bigint as pretokens from t join ways using (word) group by item_id"
+ORACLES["tok21_squared_lengths"] = best_path(lambda b, k: f"{b}.s + {k * k}", "0")
+ORACLES["tok22_longest_token"] = best_path(lambda b, k: f"greatest({b}.s, {k})", "0").replace("select token, 1::bigint, [struct_pack(s := 0,", "select token, 1::bigint, [struct_pack(s := 0,")
+ORACLES["fil13_at_least_all"] = ORACLES["tok24_boundary_sum"].replace("from g order by c desc, t limit 2000)", "from g order by c desc, t limit 2000)", 1).replace("v as materialized (select t from", "v as materialized (select distinct left(t, n::int) as t from (select t from", 1).replace("from b)", "from b) x, unnest(generate_series(1, 5)) h(n) where n <= length(t))", 1)
+
+_every = VOCABULARY.replace("from b)", f"from b union select unnest(list_filter(string_split(token, ''), lambda z: z <> '')) from {ALL})")
+_suffix = "case " + " ".join(f"when length(rest) >= {k} and {known(_right(k))} then {k}" for k in (5, 4, 3, 2)) + " else 1 end"
+_two = f"(select *, {longest(_left)} as p, {_suffix} as q from r where rest <> '')"
+
+
+def two_ended(left_now: str, state: str = "") -> str:
+    return f"""with recursive {_every}, r(word, rest, head, tail, side) as (select token, token, '', '', true from {ALL}
+      union all select word, case when {left_now} then substr(rest, p + 1) else left(rest, length(rest) - q) end, case when {left_now} then head || chr(1) || left(rest, p) else head end,
+        case when {left_now} then tail else chr(1) || right(rest, q) || tail end, not side from {_two})
+    select word, (length(t) - length(replace(t, chr(1), '')) + 1)::bigint as n, md5(t) as h from (select word, ltrim(head || tail, chr(1)) as t from r where rest = '')"""
+
+
+ORACLES["tok18_alternating"] = two_ended("side")
+ORACLES["tok18_both_ends"] = two_ended("p >= q")
+ORACLES["tok19_pair_passes"] = f"""with recursive {VOCABULARY}, r(word, todo, out, moved) as (select token, list_filter(string_split(token, ''), lambda z: z <> ''), []::varchar[], false from {ALL}
+  union all select word, case when len(todo) = 0 then out else todo[2:] end, case when len(todo) = 0 then []::varchar[] when join_ then out[:-2] || [out[-1] || todo[1]] else out || [todo[1]] end, case when len(todo) = 0 then false else moved or join_ end
+  from (select *, len(todo) > 0 and len(out) > 0 and out[-1] || todo[1] in (select t from v) as join_ from r where len(todo) > 0 or moved))
+select word, len(out)::bigint as n, md5(array_to_string(out, chr(1))) as h from r where len(todo) = 0 and not moved"""
+ORACLES["tok20_longest_first"] = f"""with recursive {VOCABULARY}, r(word, a, b, k, i, token) as (select token, 0::bigint, length(token)::bigint, least(5, length(token))::bigint, 0::bigint, null::varchar from {ALL}
+  union all select word, x.a, x.b, x.k, x.i, x.token from (
+    select word, unnest(case
+      when k = 1 then list_transform(range(a, b), lambda z: struct_pack(a := z, b := z + 1, k := 1::bigint, i := z, token := substr(word, z + 1, 1)))
+      when found then list_filter([struct_pack(a := a, b := i, k := least(k, i - a), i := a, token := null::varchar), struct_pack(a := i, b := i + k, k := k, i := i, token := substr(word, i + 1, k)),
+        struct_pack(a := i + k, b := b, k := least(k, b - i - k), i := i + k, token := null::varchar)], lambda z: z.a < z.b)
+      when i + k < b then [struct_pack(a := a, b := b, k := k, i := i + 1, token := null::varchar)]
+      else [struct_pack(a := a, b := b, k := k - 1, i := a, token := null::varchar)] end) as x
+    from (select *, substr(word, i + 1, k) in (select t from v) as found from r where token is null)))
+select word, count(*)::bigint as n, md5(string_agg(token, chr(1) order by a)) as h from r where token is not null group by word"""
+
+ORACLES["srt07_first_pair"] = f"with recursive {trained('1')} select a, b from m"
+ORACLES["trn04_merges_of_types"] = f"with recursive {trained('(select 300 - letters from letters)')} select step - 1 as priority, a || b as type from m"
+_last = "last as (select w, n, string_split(substr(t, 2, length(t) - 2), chr(2) || chr(1)) as x from tr where step = (select max(step) from tr)), used as (select t, sum(n) as n from (select unnest(x) as t, n from last) group by t)"
+_400 = f"with recursive {trained('(select 400 - letters from letters)')}, {_last}"
+ORACLES["trn08_trimmed_bpe"] = f"{_400} select distinct a || b as type from m left join used on used.t = a || b where coalesce(used.n, 0) <= 3"
+ORACLES["fil11_unused_types"] = f"{_400} select distinct a || b as type from m left join used on used.t = a || b where coalesce(used.n, 0) <= 0"
+ORACLES["trn12_boundary_blame"] = f"""{_400}, s as (select x[i] as type, coalesce(list_sum(list_transform(x[:i - 1], lambda z: length(z))), 0) as a from last, unnest(generate_series(1, 400)) g(i) where i <= len(x)),
+c as (select type, case when (a + length(type) - 1) // 4 > a // 4 then 1 else 0 end as x from s)
+select type, sum(1 - x)::bigint as right, sum(x)::bigint as wrong, avg(x) as ratio from c group by type"""
+
+# Pairs by count(xy) / (count(x) count(y)): the tokens' counts beside the pairs'.
+_pmi = trained("(select 300 - letters from letters)", "n::double / (ca * cb)", 3)
+_pmi = _pmi.replace("group by a, b) where n >= 3", "group by a, b) p join (select x as a, sum(n) as ca from (select unnest(string_split(substr(t, 2, length(t) - 2), chr(2) || chr(1))) as x, n from tr) group by x) using (a) join (select x as b, sum(n) as cb from (select unnest(string_split(substr(t, 2, length(t) - 2), chr(2) || chr(1))) as x, n from tr) group by x) using (b) where n >= 3")
+ORACLES["trn09_pmi_bpe"] = f"with recursive {_pmi} select step - 1 as priority, a || b as type, 2::bigint as parts from m"
