@@ -346,3 +346,20 @@ select type, sum(1 - x)::bigint as right, sum(x)::bigint as wrong, avg(x) as rat
 _pmi = trained("(select 300 - letters from letters)", "n::double / (ca * cb)", 3)
 _pmi = _pmi.replace("group by a, b) where n >= 3", "group by a, b) p join (select x as a, sum(n) as ca from (select unnest(string_split(substr(t, 2, length(t) - 2), chr(2) || chr(1))) as x, n from tr) group by x) using (a) join (select x as b, sum(n) as cb from (select unnest(string_split(substr(t, 2, length(t) - 2), chr(2) || chr(1))) as x, n from tr) group by x) using (b) where n >= 3")
 ORACLES["trn09_pmi_bpe"] = f"with recursive {_pmi} select step - 1 as priority, a || b as type, 2::bigint as parts from m"
+
+_suffixes, _prefixes = ("tion", "ing", "ed", "ly", "er"), ("un", "re", "in")
+_s = "case " + " ".join(f"when ends_with(w, '{s}') and length(w) > {len(s) + 1} then '{s}'" for s in _suffixes) + " end"
+_pre = "case " + " ".join(f"when starts_with(w, '{p}') and length(w) > {len(p) + 1} then '{p}'" for p in _prefixes) + " end"
+_in = lambda x: f"{x} in (select w from stems)"
+_stem = f"({_in('w')} or {_in(chr(40) + 'w || ' + quoted('e') + chr(41))} or (length(w) > 2 and right(w, 1) = left(right(w, 2), 1) and {_in('left(w, length(w) - 1)')}) or (ends_with(w, 'i') and {_in('(left(w, length(w) - 1) || ' + quoted('y') + ')')}) or (ends_with(w, 'abil') and {_in('(left(w, length(w) - 2) || ' + quoted('le') + ')')}) or (ends_with(w, 'ific') and {_in('(left(w, length(w) - 2) || ' + quoted('y') + ')')}))"
+ORACLES["tok41_derivations"] = f"""with recursive {COUNTED}, stems as materialized (select w from b where length(w) >= 3), r(word, w, head, tail, st) as (select token, token, '', '', 0 from {ALL}
+  union all select word, case when stem then w when s is not null then left(w, length(w) - length(s)) when p is not null then substr(w, length(p) + 1) else w end,
+    case when not stem and s is null and p is not null then head || p || chr(1) else head end, case when not stem and s is not null then chr(1) || s || tail else tail end,
+    case when stem then 1 when s is null and p is null then 2 else 0 end
+  from (select *, {_stem} as stem, {_s} as s, {_pre} as p from r where st = 0)),
+t as (select word, case st when 1 then head || w || tail else word end as t from r where st > 0)
+select word, (length(t) - length(replace(t, chr(1), '')) + 1)::bigint as n, md5(t) as h from t"""
+ORACLES["trn18_entropy_constrained_size"] = f"""{_400}, chars as (select sum(length(w) * n) as chars from b), k as (select n, row_number() over (order by n desc, t) as r from used),
+h as (select s, -sum(n / total * log2(n / total)) / (any_value(chars) / any_value(total)) as h from (select s, n::double as n, sum(n) over (partition by s)::double as total from k, unnest(generate_series(50, (select count(*) from used), 50)) g(s) where r <= s), chars group by s),
+g as (select s, lag(h) over (order by s) - h as gain from h)
+select (select s from g where gain is not null order by gain desc, s limit 1)::bigint as size, count(*)::bigint as types from used"""
