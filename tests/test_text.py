@@ -40,7 +40,7 @@ def test_markers(spark):
 @pytest.mark.parametrize("table", [B.pseudo_table(), B.latin_table()])
 def test_byte_tables(spark, table):
     assert len(set(table)) == 256 and sum(ord(c) > 255 for c in B.pseudo_table()) == 68
-    m, texts = B.byte_mapping(table), ["Life could be a drëam!", "漢😀", ""]
+    m, texts = B.ByteMapper(table), ["Life could be a drëam!", "漢😀", ""]
     assert run(spark, texts, lambda c: m.invert(m(c))) == texts
 
 
