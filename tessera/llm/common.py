@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 
@@ -48,6 +49,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished work go once the driver has collected what referred to them; ask it to, between stages, so that a
+    stage's files aren't held on disk beside the next one's."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hash_bytes(parts: list[bytes], seed: int = 0) -> np.ndarray:
     import xxhash
 
