@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, pieces, quality, simhash, suffix
-from tessera.llm.common import materialize, prepare, read
+from tessera.llm.common import materialize, prepare, read, release
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,24 +21,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    release(prepare(spark))
     return simhash.deduplicate(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    release(prepare(spark))
     return suffix.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    release(prepare(spark))
     names = ("__mixed_block", "__mixed_slot", "__mixed_position")
     mixed = mixing.mix(docs, out=names).repartitionByRange(names[2]).sortWithinPartitions(names[2])
     return mixed.select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    prepare(spark)
+    release(prepare(spark))
     return pieces.encode(docs).select(F.col("id").alias("doc_id"), "n_bytes", F.size("ids").cast("long").alias("n_pieces"), "exact", "ids")
 
 
