@@ -473,6 +473,75 @@ def test_html_wrapper_counts_within_the_article():
     assert main_texts([page.format(i) for i in range(2)])[1] == "T1\nShare here there\nown 1\nours\nours\na 1\nb"
 
 
+def page_of_groups(i, own):
+    name = lambda n: "k" + "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    return '<div class="box"><p>Subscribe now</p></div>' + "".join(f'<section class="{name(i * own + k)}"><p>own {i} {k}</p></section>' for k in range(own))
+
+
+def test_html_wrappers_take_in_every_page(spark, monkeypatch):
+    own = lambda i, n: "\n".join(f"own {i} {k}" for k in range(n))
+    sizes = [700, 1, 900, 2, 800, 3]  # over 2000 groups before the third page
+    sources = [page_of_groups(i, n) for i, n in enumerate(sizes)]
+    for order in (range(6), range(5, -1, -1)):
+        assert main_texts([sources[i] for i in order]) == [own(i, sizes[i]) for i in order]
+    # two hosts; the second one's pages are too few for a constant
+    rows = [(i, "http://h/x", page) for i, page in enumerate(sources)] + [(10 + i, "http://g/x", sources[i]) for i in range(2)]
+    want = {i: own(i, n) for i, n in enumerate(sizes)} | {10 + i: "Subscribe now\n" + own(i, sizes[i]) for i in range(2)}
+    for limit, part, tasks in ((html.BROADCAST, html.PART, 1), (html.BROADCAST, html.PART, 5), (-1, html.PART, 3), (-1, 2, 3)):
+        monkeypatch.setattr(html, "BROADCAST", limit)
+        monkeypatch.setattr(html, "PART", part)
+        got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(tasks)).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
+def test_html_groups_of_one_page_decide_nothing(spark, monkeypatch):
+    rng = random.Random(1)
+
+    def tree(depth):
+        own = lambda: "k" + "".join(rng.choices("abcdefghij", k=12))
+        inner = lambda: tree(depth - 1) if depth else f"t{rng.choice('aaaaaaaaab')}"
+        return "".join(f'<div class="{own() if rng.random() < 0.3 else rng.choice("xyz")}">{inner()}</div>' for _ in range(rng.randint(1, 4)))
+
+    rows = [(i, f"http://{i % 9}/x", "<p>all</p>" + tree(2)) for i in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).cache()
+    found, texts, sizes = [], [], []
+    for large in (html.LARGE, -1):
+        monkeypatch.setattr(html, "LARGE", large)
+        found.append({r.host: r.wrapper for r in html.infer(df, row=html._listed).collect()})
+        texts.append({r.page_id: r.text for r in html.extract(df).collect()})
+        sizes.append(sum(len(r.wrapper) for r in html.infer(df).collect()))
+    assert found[0] == found[1] and texts[0] == texts[1] and sizes[1] < sizes[0]
+    assert sum(w.count('"ta"') for w in found[0].values()) > 2
+
+
+def test_html_nesting_has_no_bound(spark):
+    rows = [(i, "http://h/x", "<div>" * 5000 + f"<p>Subscribe now</p><ul><li>own {i}</li></ul>") for i in range(4)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"own {i}" for i in range(4)}
+
+
+def test_html_children_align_by_a_longest_common_subsequence():
+    rng = random.Random(0)
+    for turn in range(400):
+        x, y = (rng.choices("abcdefgh"[: rng.randint(1, 8)], k=rng.randint(0, 60 if turn % 10 else 200)) for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        want, i, j = [], 0, 0
+        while i < len(x) or j < len(y):
+            if i < len(x) and j < len(y) and x[i] == y[j]:
+                want.append((i, j))
+                i, j = i + 1, j + 1
+            elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
+                want.append((i, -1))
+                i += 1
+            else:
+                want.append((-1, j))
+                j += 1
+        assert list(html.common(x, y)) == want
+
+
 def test_html_matches_articles_of_the_table(spark, sf):
     import html as stdlib
 
