@@ -2,18 +2,20 @@
 
 Counting is distributed. The loop itself is sequential by nature (each merge changes all later counts): up to `driver_words`
 distinct words it runs on the driver with incremental counts; beyond, words stay in the cluster, and a round is one job that
-rewrites them and sums pairs and tokens. Both ways take the same steps (`_Steps`) from the same sums, so they give the same merges,
-for every objective. Plain merges that can't touch each other share a round.
+rewrites them and tells how the sums of pairs and tokens moved. Both ways take the same steps (`_steps`) from the same sums, so they
+give the same merges, for every objective. Plain merges that can't touch each other share a round.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from array import array
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import log, log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,8 @@ from tessera.operators.segment import column
 from tessera.operators.segment.bpe import atoms as default_atoms
 from tessera.operators.segment.bpe import decomposing
 
-DRIVER_WORDS = 2_000_000
+#: Words on the driver take about a kilobyte each, with the pairs that they are in.
+DRIVER_WORDS = 100_000
 
 
 @dataclass
@@ -202,119 +205,269 @@ class _Local:
             self._push(changed)
 
 
-def _rewritten(word: str, atomise, steps: list[tuple[bool, tuple[str, ...]]]) -> list[str]:
-    tokens = atomise(word)
-    for is_merge, parts in steps:
-        if len(tokens) < 2 and is_merge:
-            continue
-        if is_merge:
-            if parts[0] in tokens:
-                tokens = merge_pair(tokens, parts)
-        else:
-            t = "".join(parts)
-            tokens = [y for z in tokens for y in (parts if z == t else (z,))] if t in tokens else tokens
-    return tokens
+def _rank(at: np.ndarray) -> np.ndarray:
+    """Of rising positions: the place of each in its stretch of neighbours."""
+    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+
+
+def _found(t: np.ndarray, step: tuple[int, int, tuple[int, ...]]) -> np.ndarray:
+    """Where a step changes a text of numbers: at the left number of a pair, or at what is split."""
+    kind, made, parts = step
+    if not kind:
+        return np.flatnonzero(t == made)
+    at = np.flatnonzero((t[:-1] == parts[0]) & (t[1:] == parts[1]))
+    return at[_rank(at) % 2 == 0] if parts[0] == parts[1] and len(at) else at
+
+
+def _applied(t: np.ndarray, step: tuple[int, int, tuple[int, ...]], at: np.ndarray) -> np.ndarray:
+    kind, made, parts = step
+    if not len(at):
+        return t
+    most = max(made, *parts)
+    t = t.astype(np.int32) if most > np.iinfo(t.dtype).max else t.copy()
+    if kind:
+        t[at] = made
+        keep = np.ones(len(t), bool)
+        keep[at + 1] = False
+        return t[keep]
+    sizes = np.ones(len(t), np.int64)
+    sizes[at] = len(parts)
+    out, first = np.repeat(t, sizes), at + np.arange(len(at)) * (len(parts) - 1)
+    for j, x in enumerate(parts):
+        out[first + j] = x
+    return out
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known, where = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(known), np.int64)
+    np.add.at(out, where, n)
+    return known, out
+
+
+def _counted(t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of pairs (left << 32 | right) and of tokens (token << 32), as `pairs_of` tells pairs. Zero ends a word; n: its count."""
+    end = t == 0
+    w = n[np.cumsum(end) - end]
+    ok = ~end[:-1] & ~end[1:]
+    same = np.flatnonzero(ok & (t[:-1] == t[1:]))
+    ok[same[_rank(same) % 2 == 1]] = False
+    wide = t.astype(np.int64) << 32
+    return _summed(np.concatenate([wide[:-1][ok] | t[1:][ok], wide[~end]]), np.concatenate([w[:-1][ok], w[~end]]))
+
+
+def _moved(t: np.ndarray, n: np.ndarray, step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text after a step, and what the sums of the words that it changes gain."""
+    at = _found(t, step)
+    if not len(at):
+        return t, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.flatnonzero(t == 0)
+    words = np.unique(np.searchsorted(ends, at))
+    stops = ends[words] + 1
+    starts = np.where(words > 0, ends[words - 1] + 1, 0)
+    sizes = stops - starts
+    old = t[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    (a, x), (b, y) = _counted(old, n[words]), _counted(_applied(old, step, _found(old, step)), n[words])
+    keys, by = _summed(np.concatenate([a, b]), np.concatenate([-x, y]))
+    return _applied(t, step, at), keys[by != 0], by[by != 0]
 
 
 class _Cluster:
-    """The sums of words in the cluster. A round is a job: words as the last written table has them, with the steps since then; pairs
-    and tokens are summed in each task, then by a shuffle. The driver gets the best pairs and the counts that they need.
+    """Words stay in the cluster, as blocks of numbered tokens in files. A round is a job: every task takes the blocks as they were last
+    written, does the steps since then, and tells what the sums gain by the newest ones. The driver has the sums of pairs and tokens
+    (16 bytes a pair) and nothing of the words.
 
-    Every 64 steps the rewritten words become a table in the shared folder."""
+    Every EVERY steps the blocks are written anew."""
 
-    AHEAD, EVERY = 256, 64
+    EVERY, BLOCK = 16, 1 << 18
 
     def __init__(self, counts: DataFrame, objective: str, least: int, max_length: int, atomise):
+        from tessera.session import spread
         from tessera.sources.artifacts import checkpoint
 
-        self.objective, self.least, self.max_length = objective, least, max_length
-        self.words = checkpoint(counts.select(column(atomise)(F.col("word")).alias("t"), "count"))
-        self.steps: list = []
-        self.sums = self.queue = None
+        self.objective, self.least, self.max_length, size = objective, max(least, 1), max_length, self.BLOCK
+
+        def letters(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(list({a for w in batch.column(0).to_pylist() for a in atomise(w)}), pa.string())], names=["a"])
+
+        def blocks(batches):
+            text, n = array("i"), array("q")
+
+            def block():
+                t = np.frombuffer(text, np.int32)
+                t = t.astype(np.uint16) if t.max() < 1 << 16 else t
+                return pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([t.itemsize], pa.int32())], names=["t", "n", "width"])
+
+            for batch in batches:
+                for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if tokens := [ids[a] for a in atomise(w)]:
+                        text.extend(tokens)
+                        text.append(0)
+                        n.append(c)
+                        if len(text) >= size:
+                            yield block()
+                            text, n = array("i"), array("q")
+            if n:
+                yield block()
+
+        counts = spread(counts.select("word", F.col("count").cast("long").alias("count")))
+        self.names = ["", *sorted(r[0] for r in counts.mapInArrow(letters, "a string").distinct().collect())]
+        self.ids = ids = {a: i for i, a in enumerate(self.names)}
+        self.blocks = checkpoint(counts.mapInArrow(blocks, "t binary, n binary, width int"))
+        self.steps: list[tuple[int, int, tuple[int, ...]]] = []
+        self.new = 0
         self.dirty: set[str] = set()
+        self.alone = True
+        self.keys, self.n, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(self.names), np.int64)
+        self._add(self._job(None))
 
-    def _tokens(self) -> DataFrame:
-        if not self.steps:
-            return self.words
-        steps = list(self.steps)
-        return self.words.select(column(lambda w: _rewritten(w, lambda x: x.split("\x01"), steps))(F.array_join("t", "\x01")).alias("t"), "count")
+    def _job(self, new: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """What the sums gain by the last `new` steps; without a number: all sums."""
+        steps, before = list(self.steps), len(self.steps) - (new or 0)
+
+        def run(batches):
+            keys, by = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for batch in batches:
+                for t, n, width in zip(*(c.to_pylist() for c in batch.columns)):
+                    t, n = np.frombuffer(t, np.uint16 if width == 2 else np.int32), np.frombuffer(n, np.int64)
+                    for s in steps[:before]:
+                        t = _applied(t, s, _found(t, s))
+                    found = [_counted(t, n)] if new is None else []
+                    for s in steps[before:]:
+                        t, k, x = _moved(t, n, s)
+                        found.append((k, x))
+                    keys += [k for k, _ in found]
+                    by += [x for _, x in found]
+                    if sum(map(len, keys)) > 1 << 20:
+                        keys, by = ([z] for z in _summed(np.concatenate(keys), np.concatenate(by)))
+            k, x = _summed(np.concatenate(keys), np.concatenate(by))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(x)], names=["k", "x"])
+
+        told = self.blocks.mapInArrow(run, "k long, x long")
+        told = (told.groupBy("k").agg(F.sum("x").alias("x")) if new is None else told).toArrow()
+        return _summed(told["k"].to_numpy(), told["x"].to_numpy())
+
+    def _add(self, gained: tuple[np.ndarray, np.ndarray]) -> None:
+        keys, by = gained
+        token = keys & 0xFFFFFFFF == 0
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.names) - len(self.uses), np.int64)])
+        self.uses[keys[token] >> 32] += by[token]
+        self.keys, self.n = _summed(np.concatenate([self.keys, keys[~token]]), np.concatenate([self.n, by[~token]]))
+        self.keys, self.n = self.keys[self.n != 0], self.n[self.n != 0]
+        self.lengths = np.array([len(x) for x in self.names])
+        self.new, self.dirty, self.alone, self.taken = 0, set(), True, set()
 
     def _sum(self) -> None:
         from tessera.sources.artifacts import checkpoint
 
+        self._add(self._job(self.new))
         if len(self.steps) >= self.EVERY:
-            self.words, self.steps = checkpoint(self._tokens()), []
-
-        def run(batches):
-            pairs, tokens = Counter(), Counter()
-            for batch in batches:
-                for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for p in pairs_of(t):
-                        pairs[p] += n
-                    for x in t:
-                        tokens[x] += n
-            a, b, n = [p[0] for p in pairs] + list(tokens), [p[1] for p in pairs] + [None] * len(tokens), [*pairs.values(), *tokens.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-        self.sums = checkpoint(self._tokens().mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
-        pairs, tokens = self.sums.where("b is not null"), self.sums.where("b is null").select(F.col("a").alias("x"), F.col("n").alias("c"))
-        pairs = pairs.where((F.col("n") >= self.least) & (F.length("a") + F.length("b") <= self.max_length))
-        if self.objective in LOCAL:
-            scored = pairs.withColumn("s", F.col("n").cast("double"))
-        else:
-            total, size = self.sums.where("b is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-            f = OBJECTIVES[self.objective]
+            steps = list(self.steps)
 
-            @F.arrow_udf("double")
-            def score(n: pa.Array, x: pa.Array, y: pa.Array, both: pa.Array, same: pa.Array) -> pa.Array:
-                return pa.array([f(*row, total, size) for row in zip(*(c.to_pylist() for c in (n, x, y, both, same)))], pa.float64())
+            def run(batches):
+                for batch in batches:
+                    for t, n, width in zip(*(c.to_pylist() for c in batch.columns)):
+                        t = np.frombuffer(t, np.uint16 if width == 2 else np.int32)
+                        for s in steps:
+                            t = _applied(t, s, _found(t, s))
+                        yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()), pa.array([n], pa.binary()), pa.array([t.itemsize], pa.int32())], names=["t", "n", "width"])
 
-            named = lambda on, out: tokens.select(F.col("x").alias(on), F.col("c").alias(out))
-            joined = pairs.withColumn("ab", F.concat("a", "b")).join(named("a", "ca"), "a").join(named("b", "cb"), "b").join(named("ab", "cab"), "ab", "left")
-            scored = joined.withColumn("s", score("n", "ca", "cb", F.coalesce("cab", F.lit(0)), F.col("a") == F.col("b")))
-        self.queue = [(r["s"], (r["a"], r["b"]), r["n"]) for r in scored.orderBy(F.desc("s"), "a", "b").select("s", "a", "b", "n").limit(self.AHEAD).collect()]
-        self.cut = len(self.queue) == self.AHEAD
-        self.dirty = set()
-        self.known: dict[str, int] = {}
+            self.blocks, self.steps = checkpoint(self.blocks.mapInArrow(run, "t binary, n binary, width int")), []
 
     def alphabet(self) -> list[str]:
-        self._sum()
-        return [r[0] for r in self.sums.where("b is null").select("a").collect()]
+        return self.names[1:]
+
+    def _key(self, pair: tuple[str, str]) -> int:
+        return self.ids[pair[0]] << 32 | self.ids[pair[1]]
+
+    def _at(self, keys: list[int] | np.ndarray) -> np.ndarray:
+        """Places of those keys that there are."""
+        at = np.searchsorted(self.keys, k := np.asarray(keys, np.int64))
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == k[there]
+        return at[there]
+
+    def _joined(self) -> np.ndarray:
+        """Per pair, how often the type that it makes occurs already."""
+        out = np.zeros(len(self.keys), np.int64)
+        for s in self.names[1:]:
+            if len(s) > 1:
+                halves = [(s[:i], s[i:]) for i in range(1, len(s)) if s[:i] in self.ids and s[i:] in self.ids]
+                out[self._at([self._key(h) for h in halves])] = self.uses[self.ids[s]]
+        return out
+
+    def _best(self, n: np.ndarray) -> tuple[float, list[tuple[str, str]]] | None:
+        """The best score and the pairs that have it. Vectors find those that may be best, exact numbers decide."""
+        a, b = self.keys >> 32, self.keys & 0xFFFFFFFF
+        ok = np.flatnonzero((n >= self.least) & (self.lengths[a] + self.lengths[b] <= self.max_length))
+        if not len(ok):
+            return None
+        named = lambda i: (self.names[a[i]], self.names[b[i]])
+        if self.objective == "frequency":
+            top = n[ok].max()
+            return int(top), [named(i) for i in ok[n[ok] == top]]
+        total, size = int(self.uses.sum()), int((self.uses > 0).sum())
+        both = self._joined() if self.objective == "description" else np.zeros(len(n), np.int64)
+        x, ca, cb, same = n[ok].astype(float), self.uses[a[ok]].astype(float), self.uses[b[ok]].astype(float), a[ok] == b[ok]
+        xlog = lambda v: v * np.log2(np.where(v > 0, v, 1.0))
+        slack = 1e-12 * total * log2(total + 2)
+        if self.objective == "pmi":
+            near, slack = x / (ca * cb), 0.0
+        elif self.objective == "smoothed":
+            left = [np.log(np.maximum(np.where(same, ca - 2 * x, c - x) + 1, 1e-9)) for c in (ca, cb)]
+            near = x * (np.log(x + 1) + np.log(total - x + size + 1) - left[0] - left[1])
+        else:
+            near = xlog(x) + xlog(both[ok] + 1.0) - (xlog(total + (x + 1) + (2 - 2 * x)) - xlog(np.float64(total)))
+            one, two = xlog(ca + 1 - x) - xlog(ca) + xlog(cb + 1 - x) - xlog(cb), xlog(ca + 2 - 2 * x) - xlog(ca)
+            near = near + np.where(same, two, one)
+        f, some = OBJECTIVES[self.objective], ok[near >= near.max() - slack - 1e-9 * abs(near.max())]
+        scores = [f(int(n[i]), int(self.uses[a[i]]), int(self.uses[b[i]]), int(both[i]), bool(a[i] == b[i]), total, size) for i in some]
+        top = max(scores)
+        return top, [named(i) for i, s in zip(some, scores) if s == top]
 
     def best(self) -> tuple[float, tuple[str, str]] | None:
-        """The first pair of the queue, if the merges since its count can't have changed what is best: no pair of at least its count
-        shares a token with them (which also bounds every pair that they made)."""
-        if self.queue is None:
+        """Without a round, if the merges since the last one can't have changed what is best: no pair of at least its count shares a
+        token with them (which also bounds every pair that they made)."""
+        if self.new:
+            if self.objective in LOCAL and self.alone:
+                n = self.n.copy()
+                n[self._at([self._key(p) for p in self.taken])] = 0
+                found = self._best(n)
+                if found and not any(self.dirty & set(p) for p in found[1]):
+                    return found[0], min(found[1])
             self._sum()
-        elif self.dirty:
-            s = self.queue[0][0] if self.queue else None
-            tied = [q for q in self.queue if q[0] == s]
-            if self.objective not in LOCAL or not self.queue or any(self.dirty & set(p) for _, p, _ in tied) or (self.cut and len(tied) == len(self.queue)):
-                self._sum()
-        return self.queue[0][:2] if self.queue else None
+        found = self._best(self.n)
+        return found and (found[0], min(found[1]))
 
     def count(self, pair: tuple[str, str]) -> int:
-        return next(n for _, p, n in self.queue if p == pair)
+        at = self._at([self._key(pair)])
+        return int(self.n[at[0]]) if len(at) else 0
 
     def token(self, t: str) -> int:
-        if self.queue is None or self.dirty:
+        if self.new:
             self._sum()
-        if t not in self.known:
-            row = self.sums.where(F.col("b").isNull() & (F.col("a") == t)).first()
-            self.known[t] = row["n"] if row else 0
-        return self.known[t]
+        return int(self.uses[self.ids[t]])
+
+    def _step(self, kind: int, t: str, parts: tuple[str, ...]) -> None:
+        if t not in self.ids:
+            self.ids[t] = len(self.names)
+            self.names.append(t)
+        self.steps.append((kind, self.ids[t], tuple(self.ids[x] for x in parts)))
+        self.new += 1
 
     def merge(self, pair: tuple[str, str]) -> None:
-        self.steps.append((True, pair))
-        self.dirty |= {*pair, "".join(pair)}
-        if pair[0] == pair[1]:  # what it makes of itself isn't bounded by another pair
-            self.queue = None
-        else:
-            self.queue = [q for q in self.queue if q[1] != pair]
+        made = "".join(pair)
+        # what a pair makes of itself, or adds to a type that there is, isn't bounded by another pair
+        self.alone = self.alone and pair[0] != pair[1] and made not in self.ids
+        self.dirty |= {*pair, made}
+        self.taken.add(pair)
+        self._step(1, made, pair)
 
     def split(self, t: str, parts: tuple[str, ...]) -> None:
-        self.steps.append((False, parts))
-        self.queue = None
+        self.alone = False
+        self._step(0, t, parts)
 
 
 def _steps(
@@ -371,9 +524,11 @@ def fit(
     picky: float | None = None, scaffold: bool = False, stop_ratio: float | None = None, least: int = 1,
 ) -> Result:
     """counts (word, count) → merges, as fit_words. The number of distinct words is checked before anything is collected."""
-    few = counts.limit(driver_words + 1).count() <= driver_words
-    if few:
-        words = sorted((r["word"], int(r["count"])) for r in counts.select("word", "count").collect())
+    from tessera.sources.artifacts import checkpoint
+
+    counts = checkpoint(counts.select("word", "count"))  # counted once for all that follows
+    if counts.count() <= driver_words:
+        words = sorted((r["word"], int(r["count"])) for r in counts.collect())
         return fit_words(words, size, objective, atomise, max_length, required, picky, scaffold, stop_ratio, least)
     return _steps(_Cluster(counts, objective, least, max_length, atomise), size, required, picky, scaffold, stop_ratio)
 

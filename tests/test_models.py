@@ -139,6 +139,42 @@ def test_bpe_trainer_skips_overlaps_in_the_cluster(spark):
         assert train.fit(counts, 5, driver_words=n).merges == [("b", "c"), ("a", "a")]
 
 
+def test_bpe_trainer_leaves_many_words_in_the_cluster(spark, monkeypatch):
+    """Beyond 100 thousand words nothing of them comes to the driver; a round tells only what moved."""
+    monkeypatch.setattr(train, "fit_words", None)
+    words = spark.range(120_000).selectExpr("concat('ab', id, 'aa') as word", "1l as count")
+    r = train.fit(words, 15)
+    assert r.alphabet == [*"0123456789ab"] and r.merges == [("a", "a"), ("a", "b"), ("ab", "1")]
+
+
+def test_bpe_steps_on_numbers_against_lists():
+    rng = np.random.default_rng(7)
+    for wide in (1, 40_000):  # numbers that need two bytes, and more
+        words = [list(rng.integers(1, 4, rng.integers(1, 9)) * wide) for _ in range(200)]
+        n = rng.integers(1, 9, len(words))
+        t = np.array([x for w in words for x in [*w, 0]], np.uint16 if wide == 1 else np.int32)
+        steps = [(1, 70_000, (wide, wide)), (1, 5 * wide, (2 * wide, 70_000)), (0, 70_000, (wide, wide))]
+        for step in steps:
+            kind, made, parts = step
+            t, keys, by = train._moved(t, n, step)
+            after = []
+            for w in words:
+                out, i = [], 0
+                while i < len(w):
+                    hit = w[i : i + 2] == list(parts) if kind else w[i] == made
+                    out += ([made] if kind else list(parts)) if hit else [w[i]]
+                    i += 2 if kind and hit else 1
+                after.append(out)
+            exact = {}
+            for sign, side in ((-1, words), (1, after)):
+                for w, k in zip(side, n):
+                    for x in [*train.pairs_of(w), *((y, 0) for y in w)]:
+                        exact[int(x[0]) << 32 | int(x[1])] = exact.get(int(x[0]) << 32 | int(x[1]), 0) + sign * int(k)
+            assert t.tolist() == [x for w in after for x in [*w, 0]]
+            assert dict(zip(keys.tolist(), by.tolist())) == {k: x for k, x in exact.items() if x}
+            words = after
+
+
 def test_merges_of_types():
     r = train.fit_words(WORDS, 14)
     assert train.merges_of_types(["".join(m) for m in r.merges]) == r.merges
