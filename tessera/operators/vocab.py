@@ -79,8 +79,8 @@ def hashed_id(token: Column, size: int, reserved: list[int] = ()) -> Column:
 
 
 def word_level_unk(tokens: Column, known: Column) -> Column:
-    """[''] if any token is unknown, else the tokens."""
-    return F.when(F.forall(known, lambda x: x), tokens).otherwise(F.array(F.lit("")))
+    """[''] if any token is unknown, else the tokens; null if there are none to know."""
+    return F.when(F.forall(known, lambda x: x), tokens).when(known.isNotNull(), F.array(F.lit("")))
 
 
 def template(ids: Column, before: list[int] = (), after: list[int] = (), pair: Column | None = None, between: list[int] = (), end: list[int] = ()) -> Column:

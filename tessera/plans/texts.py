@@ -289,7 +289,8 @@ def word_level_unk(spark, sf_dir):
     v = benchmark_vocab(spark, sf_dir).select(F.col("type").alias("token"), F.lit(True).alias("known"))
     ids = words(spark, sf_dir).join(v, "token", "left").groupBy("doc_id").agg(F.collect_list("token").alias("ts"), F.collect_list(F.coalesce("known", F.lit(False))).alias("ks"))
     both = table(spark, sf_dir, "documents", "doc_id").join(ids, "doc_id", "left")
-    return both.select("doc_id", F.coalesce(F.size(V.word_level_unk(F.col("ts"), F.col("ks"))), F.lit(0)).cast("long").alias("n"))
+    n = F.when(F.col("ts").isNotNull(), F.size(V.word_level_unk(F.col("ts"), F.col("ks")))).otherwise(0)  # no words, no tokens
+    return both.select("doc_id", n.cast("long").alias("n"))
 
 
 @query("wrp04_fewest", f"select doc_id, least(len({WORDS}), cast(ceil(length(text) / 6.0) as bigint))::bigint as n from documents")
