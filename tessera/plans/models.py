@@ -131,11 +131,8 @@ def unigram_viterbi(spark, sf_dir):
 @query("scl28_segmentation_counts")
 def segmentation_counts(spark, sf_dir):
     """ways is infinite beyond doubles; log2_ways tells how many there are."""
-    v = vocabulary(spark, sf_dir)
-    w = distinct_words(spark, sf_dir).select("word", Y.count_segmentations(v)(F.col("word")).cast("double").alias("ways"), Y.log_segmentations(v)(F.col("word")).alias("log2_ways"))
-    return w.select("word", F.coalesce("ways", F.pow(F.lit(2.0), F.col("log2_ways"))).alias("ways"), F.round("log2_ways", 6).alias("log2_ways"))
-
-
+    w = distinct_words(spark, sf_dir).withColumn("s", Y.segmentation_doubles(vocabulary(spark, sf_dir))(F.col("word")))
+    return w.select("word", "s.ways", F.round("s.log2_ways", 6).alias("log2_ways"))
 
 
 @query(

@@ -36,6 +36,21 @@ def test_rows_equal_sql(spark, sf, oracle, name):
     assert got == sorted((tuple(plain(r[order.index(c)]) for c in names) for r in cur.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name,texts", [
+    ("scl28_segmentation_counts", [" ".join("a" * n for n in range(1, 135)), None]),
+    ("wrp08_word_level_unk", ["aaaa aaaa", "aaaa b", "", " ", None]),
+])
+def test_rows_equal_sql_on_odd_texts(spark, tmp_path, name, texts):
+    spark.createDataFrame([(1, "aaaa aaaa")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(SQL[name]).fetchall())
+
+
 OTHERS = sorted(n for n in catalog.queries() if n not in SQL)
 
 
