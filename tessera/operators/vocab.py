@@ -167,11 +167,13 @@ def succession(head, *tails):
 
 def joined_in(n: int):
     """Token lists: every n neighbours become one."""
-    def run(tokens: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(n))
-        return F.when(F.size(tokens) == 0, tokens).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), "")))
+    def joined(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(n))
+        # elements by their place, since a slice copies the list
+        return F.when(F.size(t) == 0, t).when(t.isNotNull(), F.transform(starts, lambda i: F.concat_ws("", *(F.get(t, i + j) for j in range(n)))))
 
-    return run
+    # the list is a lambda's variable, so it's made once a row and not once a token
+    return lambda tokens: F.get(F.transform(F.array(tokens), joined), F.lit(0))
 
 
 def added(vocab: DataFrame, types: list[str]) -> DataFrame:

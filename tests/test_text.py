@@ -79,3 +79,23 @@ def test_isomorphic_encodings(spark):
     df = spark.createDataFrame([(["ab", "c", "def"],)], "t array<string>")
     r = df.select(C.token_starts(F.col("t")).alias("s"), C.token_mask(F.col("t")).alias("m"), C.bit_key(C.token_lengths(F.col("t"))).alias("k"), C.cut_at(F.lit("abcdef"), C.token_starts(F.col("t"))).alias("c"), C.from_mask(F.lit("abcdef"), C.token_mask(F.col("t"))).alias("f")).first()
     assert (r.s, r.m, r.k, r.c, r.f) == ([0, 2, 3], "01100", 12, ["ab", "c", "def"], ["ab", "c", "def"])
+
+
+def test_chunks_of_long_texts_take_one_walk(spark):
+    """By substrings or slices, 400 thousand characters took minutes."""
+    from time import perf_counter
+
+    from tessera.operators import vocab as V
+    from tessera.operators.segment import native as N
+
+    long = "añ𝒶d " * 80_000
+    df = spark.createDataFrame([(0, long), (1, "abcdefg"), (2, "abc"), (3, ""), (4, None)], "i int, t string").cache()
+    df.count()
+    began = perf_counter()
+    got = {r.i: r for r in df.select("i", N.strided_ngrams(5, 2)(F.col("t")).alias("a"), N.strided_ngrams(1, 5)(F.col("t")).alias("b"), V.succession(N.ngrams(4), V.joined_in(2))(F.col("t")).alias("c")).collect()}
+    assert perf_counter() - began < 30
+    chunks = lambda t, n, stride: [t[i * stride : i * stride + n] for i in range(max(0, -((n - len(t)) // stride)) + 1)]
+    for i, t in enumerate([long, "abcdefg", "abc", ""]):
+        assert got[i].a == chunks(t, 5, 2) and got[i].b == chunks(t, 1, 5)
+        assert got[i].c == [t[k : k + 8] for k in range(0, len(t), 8)]
+    assert got[4].a is None and got[4].c is None
