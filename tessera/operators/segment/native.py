@@ -15,8 +15,10 @@ def strided_ngrams(n: int, stride: int):
     """Overlapping chunks of n every `stride` characters: max(0, ceil((length - n) / stride)) + 1 of them."""
 
     def run(c: Column) -> Column:
-        k = F.greatest(F.lit(0), F.ceil((F.length(c) - n) / stride)).cast("int")
-        return F.transform(F.sequence(F.lit(0), k), lambda i: c.substr(i * stride + 1, F.lit(n)))
+        # one walk over the text: what follows every `stride` characters; a substring by its number would count from the start each time
+        k = F.greatest(F.lit(0), F.ceil((F.length(c) - n) / stride)).cast("int") + 1
+        chunks = F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{1,{n}}})).{{1,{stride}}}"), 1)
+        return F.get(F.transform(F.array(chunks), lambda x: F.concat(F.slice(x, F.lit(1), k), F.array_repeat(F.lit(""), F.greatest(k - F.size(x), F.lit(0))))), F.lit(0))
 
     return run
 
