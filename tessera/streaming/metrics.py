@@ -19,6 +19,8 @@ from tessera.operators.windows import window_types
 from tessera.session import shared_folder
 
 WS = on_regex(r"[ \n\t\r]+")
+#: Groups of a stream whose positions are sent to all tasks; beyond, they are joined by a shuffle.
+MANY = 100_000
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -69,10 +71,14 @@ def run_mattr(docs: DataFrame, by: str, size: int, stride: int, text: str = "tex
     def part(kind: str, epoch: int, schema) -> DataFrame:
         return spark.read.schema(schema).parquet(f"{root}/{kind}/epoch={epoch}") if epoch >= 0 else spark.createDataFrame([], schema)
 
+    def few(groups: DataFrame) -> DataFrame:
+        """A row a group. Joined by a shuffle, a large group's tokens would all be one task's."""
+        return F.broadcast(groups) if groups.limit(MANY + 1).count() <= MANY else groups
+
     def write(batch: DataFrame, epoch: int) -> None:
         stood = part("stood", epoch - 1, stood_schema)
         new = positions(batch.select(F.col(by).cast("string").alias(by), order, text), WS(F.col(text)), order, (by,))
-        new = new.join(stood, by, "left").select(by, (F.col("gpos") + F.coalesce("n", F.lit(0))).alias("gpos"), "token")
+        new = new.join(few(stood), by, "left").select(by, (F.col("gpos") + F.coalesce("n", F.lit(0))).alias("gpos"), "token")
         new = new.unionByName(part("held", epoch - 1, held_schema))
         new.write.mode("overwrite").parquet(f"{root}/tokens/epoch={epoch}")
         new = spark.read.schema(held_schema).parquet(f"{root}/tokens/epoch={epoch}")
@@ -80,6 +86,7 @@ def run_mattr(docs: DataFrame, by: str, size: int, stride: int, text: str = "tex
         full.groupBy(by).agg(F.count("*").alias("windows"), F.sum(F.col("types") / size).alias("total")).write.mode("overwrite").parquet(f"{root}/sums/epoch={epoch}")
         grown = new.groupBy(by).agg((F.max("gpos") + 1).alias("n"))
         stood.join(grown.withColumnRenamed("n", "m"), by, "full").select(by, F.coalesce("m", "n").alias("n")).write.mode("overwrite").parquet(f"{root}/stood/epoch={epoch}")
+        grown = few(part("stood", epoch, stood_schema))
         # the first window that isn't full starts after the last full one
         start = F.when(F.col("n") >= size, (F.floor((F.col("n") - size) / stride) + 1) * stride).otherwise(F.lit(0))
         new.join(grown.select(by, start.alias("start")), by).where(F.col("gpos") >= F.col("start")).select(by, "gpos", "token").write.mode("overwrite").parquet(f"{root}/held/epoch={epoch}")

@@ -86,3 +86,23 @@ def test_artifacts_round_trip(spark, tmp_path):
     for _ in range(2):
         assert artifacts.cached(spark, str(tmp_path), "words", {"x": 1}, make).count() == 2
     assert len(calls) == 1
+
+
+def test_streamed_mattr_sends_positions_to_all_tasks(spark, tmp_path, monkeypatch):
+    """A group's tokens aren't gathered in one task to be joined with its position; epochs and both joins give the same."""
+    from tessera.streaming import metrics
+
+    for k in range(3):
+        rows = [(k * 10 + i, "a" if i % 3 else "b", " ".join(f"w{(i * j + k) % 7}" for j in range(9))) for i in range(10)]
+        spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    docs = spark.read.parquet(*(f"{tmp_path}/in/{k}" for k in range(3)))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/one")
+    for k in range(3):
+        spark.read.parquet(f"{tmp_path}/in/{k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/three")
+    sent, real = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or real(df))
+    run = lambda path, **more: sorted(tuple(r) for r in metrics.run_mattr(metrics.read(spark, f"{tmp_path}/{path}", **more), "lang", 20, 10).collect())
+    once, epochs = run("one"), run("three", maxFilesPerTrigger="1")
+    assert len(sent) == 2 + 6
+    monkeypatch.setattr(metrics, "MANY", 0)
+    assert [r[:2] for r in once] == [r[:2] for r in epochs] and once == run("one") and len(sent) == 8 + 1
