@@ -190,6 +190,34 @@ def test_expectations_against_enumeration():
         assert uses.get(t, 0) == pytest.approx(sum(p * w.count(t) for p, w in zip(weight, ways)) / sum(weight))
 
 
+def test_expectations_of_many_words_at_once(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("reanimt"), k)) for k in rng.integers(1, 12, 300)] + ["e" * 900, "𝒶nim", "", "xyz"]
+    n = rng.integers(1, 9, len(words)).tolist()
+    logp = {t: -0.3 * (i + 1) for i, t in enumerate(sorted(VOCAB | {"𝒶"}))} | {"e": -1020.0}
+    exact: dict = {}
+    for w, k in zip(words, n):
+        for t, x in unigram.expectations(w, logp, 8)[1].items():
+            exact[t] = exact.get(t, 0.0) + k * x
+    counts = spark.createDataFrame(list(zip(words, n)), "word string, count long")
+    assert unigram.em_step(counts, logp) == pytest.approx(exact)
+
+
+def test_unigram_trainer_counts_words_once(spark):
+    from pyspark.sql import functions as F
+
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(n):
+        looked.add(1)
+        return n
+
+    counts = spark.createDataFrame([(w, 3) for w in ("reanim", "anim", "animate", "rean")], "word string, count long")
+    unigram.fit(counts.withColumn("count", seen("count")), 12, 40, 8)
+    assert looked.value == 4
+
+
 def test_lzw_and_ngrams(spark):
     v = other.lzw("there is a house in your backyard -- a treehouse you might say".split(), 60)
     assert len(v) == len(set(v)) and set("".join(v)) <= set(v)
