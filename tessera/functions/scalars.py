@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import comb, factorial
 
@@ -53,9 +54,21 @@ def token_lengths(tokens: Column) -> Column:
     return F.transform(tokens, F.length)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value made once a row, however often f's lambdas look at it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _places(signs: Column, sign: str) -> Column:
+    """Where a sign stands in a string, from 0, in one walk."""
+    return F.filter(F.transform(F.split(signs, ""), lambda c, i: F.when(c == sign, i)), lambda i: i.isNotNull())
+
+
 def token_starts(tokens: Column) -> Column:
     """Offset of each token: 0, then running sums."""
-    return F.transform(tokens, lambda x, i: F.length(F.array_join(F.slice(tokens, 1, i), "")))
+    # a sign a character and one at each token's end: the k-th end stands behind k other ends
+    ends = lambda t: _places(F.array_join(F.transform(t, lambda x: F.concat(F.repeat(F.lit("0"), F.coalesce(F.length(x), F.lit(0))), F.lit("|"))), ""), "|")
+    return bound(tokens, lambda t: bound(ends(t), lambda e: F.transform(t, lambda x, i: F.when(i == 0, 0).otherwise(F.get(e, i - 1) - (i - 1)))))
 
 
 def token_mask(tokens: Column) -> Column:
@@ -70,11 +83,12 @@ def split_positions(tokens: Column) -> Column:
 
 def cut_at(text: Column, starts: Column) -> Column:
     """Tokens of a text from the offsets at which they start (the first is 0)."""
-    return F.transform(starts, lambda s, i: text.substr(s + 1, F.coalesce(F.get(starts, i + 1), F.length(text)) - s))
+    return bound(starts, lambda at: F.transform(at, lambda s, i: text.substr(s + 1, F.coalesce(F.get(at, i + 1), F.length(text)) - s)))
 
 
 def from_mask(text: Column, mask: Column) -> Column:
-    starts = F.filter(F.sequence(F.lit(0), F.length(text) - 1), lambda i: (i == 0) | (mask.substr(i, F.lit(1)) == "1"))
+    inner = F.transform(_places(F.substring(F.coalesce(mask, F.lit("")), F.lit(1), F.length(text) - 1), "1"), lambda i: i + 1)
+    starts = F.concat(F.array(F.lit(0)), inner)
     return F.when(F.length(text) > 0, cut_at(text, starts)).otherwise(F.array().cast("array<string>"))
 
 
