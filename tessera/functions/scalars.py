@@ -162,7 +162,6 @@ def stamp(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM-dd_HH-mm-ss")
 
 
-@F.arrow_udf("double")
 def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     from collections import Counter
 
@@ -181,7 +180,7 @@ def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of multisets: shared over united multiplicities. Each element is looked at once."""
-    return _jaccard(a, b)
+    return F.arrow_udf(_jaccard, "double")(a, b)
 
 
 # Combinatorics of compositions, in Python integers (results may exceed 64 bits).
